@@ -3,10 +3,10 @@
 Features are densities of a lexicon, how near its words stand to words that address the reader, shares
 of capitals and of punctuation, and rates of obfuscation (characters that stand for letters, starred or
 split words, drawn-out letters). The lexicon has a short hand-written part and a learnt part: words and
-word beginnings that mark toxic documents. The learnt part comes from one half of the labelled documents
-and the trees from the other, so that the trees see the lexicon as it performs on unseen text. Each half
-is at most ``MAX_TRAIN`` documents, those with the smallest hash of doc_id; scores of unseen folds are
-calibrated by pooling adjacent violators. Only the text is read for a score.
+word beginnings that mark toxic documents. Each half of the labelled documents is described with the
+lexicon learnt from the other half, so that the trees see a lexicon as it performs on unseen text. At
+most ``MAX_TRAIN`` documents are learnt from, those with the smallest hash of doc_id; scores of unseen
+folds are calibrated by pooling adjacent violators. Only the text is read for a score.
 
 Defined results: as in :mod:`quality_classifier`.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
+from .common import materialise
 from .quality_classifier import feature_rows, held_out, labelled, scored
 
 MAX_TRAIN = 20_000
@@ -97,21 +98,27 @@ def make_features(learnt: dict[str, float]) -> Callable[[str | None], list[float
     return features
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Weights of words and beginnings that mark toxic documents: smoothed log odds of document counts.
+def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """Lexicons from the first half of the rows, from the second, and from all (column ``half`` is 0 or 1).
 
-    Counted over a bounded set of rows with grouped sums; the strongest ``LEARNT`` entries are kept.
+    A lexicon holds the weights of words and beginnings that mark toxic documents, as smoothed log odds
+    of document counts, the ``LEARNT`` strongest of them. The counts are grouped sums over bounded rows.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
-    base = rows.select("y", words.alias("w"))
     keys = F.concat(F.col("w"), *[_beginnings(k) for k in STEMS])
-    counted = base.select("y", F.explode(keys).alias("k")).groupBy("k").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    n = rows.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).first()
-    if not n["t"] or not n["c"]:
-        return {}
-    odds = F.log((F.col("t") + 0.5) / (n["t"] + 1)) - F.log((F.col("c") + 0.5) / (n["c"] + 1))
-    best = counted.filter("t >= 3").withColumn("s", odds).filter("s > 1.5").orderBy((F.col("s") * F.sqrt("t")).desc(), "k").limit(LEARNT).select("k", "s").collect()
-    return {r["k"]: float(r["s"]) for r in best}
+    tally = [F.sum(((F.col("half") == h) & (F.col("y") == y)).cast("int")).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
+    counted = materialise(rows.select("half", "y", words.alias("w")).select("half", "y", F.explode(keys).alias("k")).groupBy("k").agg(*tally).filter("n01 + n11 >= 3"))
+    total, out = rows.agg(*tally).first(), []
+    for halves in ((0,), (1,), (0, 1)):
+        toxic, clean = (sum((F.col(f"n{h}{y}") for h in halves), F.lit(0)) for y in (1, 0))
+        all_toxic, all_clean = (sum(total[f"n{h}{y}"] or 0 for h in halves) for y in (1, 0))
+        if not all_toxic or not all_clean:
+            out.append({})
+            continue
+        odds = F.log((toxic + 0.5) / (all_toxic + 1)) - F.log((clean + 0.5) / (all_clean + 1))
+        best = counted.withColumn("t", toxic).withColumn("s", odds).filter("t >= 3 AND s > 1.5").orderBy((F.col("s") * F.sqrt("t")).desc(), "k").limit(LEARNT)
+        out.append({r["k"]: float(r["s"]) for r in best.select("k", "s").collect()})
+    return out
 
 
 def _beginnings(k: int) -> Column:
@@ -120,11 +127,14 @@ def _beginnings(k: int) -> Column:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """Score each document; labels are learnt from rows whose crc32(doc_id) mod ``modulus`` isn't ``remainder``."""
-    learn = ~held_out(F.col("__id"), modulus, remainder)
-    half = F.pmod(F.xxhash64(F.lit("half"), F.col("__id")), F.lit(2))
-    learnt = learn_lexicon(labelled(docs, labels, "toxic", learn & (half == 0), MAX_TRAIN))
-    features = make_features(learnt)
-    x, y = feature_rows(labelled(docs, labels, "toxic", learn & (half == 1), MAX_TRAIN), features)
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int").alias("half")
+    rows = materialise(labelled(docs, labels, "toxic", ~held_out(F.col("__id"), modulus, remainder), MAX_TRAIN).select("*", half))
+    lexicons = learn_lexicons(rows)
+    # The rows of a half get the lexicon of the other one.
+    parts = [feature_rows(rows.filter(F.col("half") == h).select("doc_id", "text", "y"), make_features(lexicons[1 - h])) for h in (0, 1)]
+    parts = [p for p in parts if len(p[1])] or parts[:1]
+    x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
     forest = gbt.fit(x, y)
     calibrated = gbt.isotonic(gbt.out_of_fold(x, y, trees=60), y)
+    features = make_features(lexicons[2])
     return scored(docs, features, lambda v: calibrated(forest.margin(v)), held_out(F.col("doc_id"), modulus, remainder))
