@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, quality_classifier, quality_rules, sharding, toxicity
+from . import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixed.select("doc_id", "source", F.round("__mx_rate", 9).alias("rate"), F.col("__mx_copy").cast("long").alias("copy"), F.col("__mx_order").alias("order_key"))
+    return out.orderBy("order_key", "doc_id", "copy")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sharding.document_shards(table(spark, sf_dir, "documents"), 16)
     return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -42,7 +48,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": """
+        WITH d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS bytes FROM d GROUP BY source),
+        t AS (SELECT sum(bytes) AS b, sum(bytes ** 0.5) AS t FROM s),
+        r AS (SELECT source, (b * 1.0 / t) * (bytes ** 0.5) / bytes AS rate FROM s, t),
+        part AS (SELECT source, rate, greatest(CAST(ceil(rate / 16.0) AS BIGINT), 1) AS n FROM r),
+        term AS (SELECT source, rate, n, k, exp(-rate / n + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate / n) END - lgamma(k + 1)) AS p
+                 FROM part, unnest(generate_series(0, 90)) AS g(k)),
+        cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM term),
+        steps AS (SELECT source, list(c ORDER BY k) AS c FROM cdf GROUP BY source),
+        drawn AS (
+            SELECT doc_id, d.source, rate, list_sum(list_transform(generate_series(1, n), lambda i:
+                       len(list_filter(c, lambda x: x < (CAST('0x' || substr(md5('7|' || doc_id || '|' || i), 1, 13) AS UBIGINT) + 0.5) / 4503599627370496.0)))) AS copies
+            FROM d JOIN part ON d.source IS NOT DISTINCT FROM part.source JOIN steps ON d.source IS NOT DISTINCT FROM steps.source)
+        SELECT doc_id, source, round(rate, 9) AS rate, copy,
+               CAST(CAST('0x' || substr(md5('order7|' || doc_id || '|' || copy), 1, 15) AS UBIGINT) AS BIGINT) AS order_key
+        FROM drawn, unnest(generate_series(0, CAST(copies AS BIGINT) - 1)) AS g(copy)
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:
