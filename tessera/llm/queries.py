@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, toxicity
+from . import decontaminate, licenses, mixing, near_dedup, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -26,6 +26,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("order_key", "doc_id", "copy")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sharding.document_shards(table(spark, sf_dir, "documents"), 16)
     return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
