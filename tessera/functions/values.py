@@ -40,7 +40,7 @@ def display(c: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, FLOATS):
         d = c.cast("double")
         fixed = F.regexp_replace(F.regexp_replace(F.printf(F.lit("%.10f"), d), "0+$", ""), r"\.$", "")
-        text = F.when(F.isnan(d) | (F.abs(d) == float("inf")), d.cast("string")).otherwise(fixed)
+        text = F.when(F.isnan(d) | (F.abs(d) == float("inf")), d.cast("string")).when(d.isNotNull(), fixed)
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     elif isinstance(kind, T.DateType):

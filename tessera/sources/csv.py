@@ -12,8 +12,11 @@ from ..operators.schema import ColumnSchema, infer_schema, typed
 from .rows import with_row_index
 from .sniff import Dialect, sniff
 
-#: Names by which encodings are asked for, and those that the parser knows.
+#: Names by which encodings are asked for. What is called Latin-1 is Windows-1252 in practice.
 ENCODINGS = {"utf-8": "UTF-8", "utf8": "UTF-8", "auto": "UTF-8", "latin1": "windows-1252", "latin-1": "windows-1252", "windows-1252": "windows-1252", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "shiftjis": "Shift_JIS", "shift_jis": "Shift_JIS"}
+#: The bytes in which Windows-1252 differs from ISO 8859-1, as the parser reads them and as they are meant.
+_READ = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_MEANT = bytes(map(ord, _READ)).decode("cp1252")
 
 
 def dialect(spark: SparkSession, path: str, config: ReaderConfig) -> Dialect:
@@ -32,7 +35,7 @@ def _options(d: Dialect, config: ReaderConfig) -> dict[str, str]:
     encoding = ENCODINGS.get(config.encoding.lower(), config.encoding)
     # With a backslash as escape, doubled quotes would be read as two; the quote itself is the default.
     out = {
-        "sep": d.delimiter, "quote": d.quote, "escape": d.escape or d.quote, "encoding": encoding, "mode": config.mode, "header": "false", "inferSchema": "false",
+        "sep": d.delimiter, "quote": d.quote, "escape": d.escape or d.quote, "encoding": "ISO-8859-1" if encoding == "windows-1252" else encoding, "mode": config.mode, "header": "false", "inferSchema": "false",
         "multiLine": str(config.multi_line or encoding not in ("UTF-8", "windows-1252")).lower(), "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\u0000", "emptyValue": "",
     }
     return out | ({"comment": config.comment} if config.comment else {})
@@ -49,6 +52,9 @@ def read_csv(spark: SparkSession, path: str, config: ReaderConfig | None = None,
     config = (config or ReaderConfig()).validate()
     d = dialect(spark, path, config)
     options = _options(d, config)
+    if options["encoding"] == "Shift_JIS":
+        # The engine's own list of character sets is short; this admits all that the JVM has.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if config.skip_rows:
         # The rows to skip may have any width, so lines are numbered before they are parsed.
         lines = with_row_index(spark.read.text(path)).filter(F.col("_row") >= config.skip_rows)
@@ -66,6 +72,8 @@ def read_csv(spark: SparkSession, path: str, config: ReaderConfig | None = None,
             return spark.createDataFrame([], T.StructType([]))
         fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
         raw = spark.read.schema(fields).options(**options | {"header": str(d.has_header).lower(), "enforceSchema": "true"}).csv(path)
+    if options["encoding"] == "ISO-8859-1":
+        raw = raw.select(*[F.translate(quoted(c), _READ, _MEANT).alias(c) for c in raw.columns])
     return _finish(raw, config, schema)
 
 
