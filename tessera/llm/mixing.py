@@ -78,8 +78,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     """Copies of documents in shuffled order: all columns of ``docs``, and __mx_rate, __mx_copy, __mx_order."""
     rates = source_rates(docs, weights, budget, power)
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    joined = docs.withColumn("__mx_source", F.col("source").cast("string")).join(rates.withColumnRenamed("__mx_source", "__mx_s"), F.col("__mx_source").eqNullSafe(F.col("__mx_s")))
-    counted = joined.withColumn("__mx_key", key).withColumn("__mx_rate", F.col("rate")).withColumn("__mx_n", copies(F.col("__mx_rate"), seed, F.col("__mx_key")))
+    joined = docs.withColumn("__mx_source", F.col("source").cast("string")).join(rates.select(F.col("__mx_source").alias("__mx_s"), F.col("rate").alias("__mx_rate")), F.col("__mx_source").eqNullSafe(F.col("__mx_s")))
+    counted = joined.withColumn("__mx_key", key).withColumn("__mx_n", copies(F.col("__mx_rate"), seed, F.col("__mx_key")))
     told = counted.filter("__mx_n > 0").withColumn("__mx_copy", F.explode(F.sequence(F.lit(0), F.col("__mx_n") - 1)))
     order = F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "__mx_key", F.col("__mx_copy").cast("string"))), 1, 15)
     placed = told.withColumn("__mx_order", F.conv(order, 16, 10).cast("long"))
