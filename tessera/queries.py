@@ -28,6 +28,7 @@ from .plans.pipeline import Pipeline
 from .plans.sql import SimpleQuery, query
 from .sources import columnar, csv, json, kafka, sqltext, workbook
 from .sources.rows import with_row_index
+from .sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -529,18 +530,9 @@ def parquet_columns(spark: SparkSession, sf: str) -> DataFrame:
     return columnar.parquet_columns(spark, f"{sf}/region.parquet").drop("nullable")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that driver and executors share; a local one only where none is named."""
-    import tempfile
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or tempfile.gettempdir()).rstrip('/')}/tessera-roundtrip/{uuid.uuid4().hex}{name}"
-
-
 @register("csv_roundtrip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "")
+    path = new_path(spark)
     csv.write_csv(table(spark, sf, "customer"), path, WriterConfig(delimiter=";"))
     kinds = {"c_custkey": "int", "c_nationkey": "int", "c_acctbal": "float"}
     schema = [ColumnSchema(c, kinds.get(c, "string")) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")]
@@ -549,14 +541,14 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("json_roundtrip", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "")
+    path = new_path(spark)
     json.write_json(table(spark, sf, "part"), path)
     return json.read_json(spark, path)
 
 
 @register("parquet_roundtrip", "SELECT * FROM orders")
 def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "")
+    path = new_path(spark)
     columnar.write_parquet(table(spark, sf, "orders"), path)
     return columnar.read_parquet(spark, path)
 
@@ -564,7 +556,7 @@ def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 for _format in (FileFormat.XLSX, FileFormat.ODS):
 
     def _roundtrip(spark: SparkSession, sf: str, format: FileFormat = _format) -> DataFrame:
-        path = _scratch(spark, f".{format.value}")
+        path = new_path(spark, f".{format.value}")
         workbook.write_workbook(table(spark, sf, "supplier").withColumn("opened", F.make_date(F.lit(2020), F.lit(1), (F.col("s_suppkey") % 28 + 1).cast("int"))), path, order=["s_suppkey"])
         return workbook.read_workbook(spark, path).drop("_row")
 
@@ -573,7 +565,7 @@ for _format in (FileFormat.XLSX, FileFormat.ODS):
 
 @register("arrow_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def arrow_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, ".arrow")
+    path = new_path(spark, ".arrow")
     columnar.write_arrow(table(spark, sf, "nation"), path)
     return columnar.read_arrow(spark, path)
 
@@ -582,7 +574,7 @@ def arrow_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def delta_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from .sources import delta
 
-    path, df = _scratch(spark, ""), table(spark, sf, "customer").select("c_custkey", "c_name")
+    path, df = new_path(spark), table(spark, sf, "customer").select("c_custkey", "c_name")
     delta.write_delta(df.filter("c_custkey % 2 = 0"), path)
     delta.write_delta(df.filter("c_custkey % 2 = 1"), path)
     return delta.read_delta(spark, path)
@@ -595,7 +587,7 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files, copied to a folder of its own."""
     from .streaming import file_stream
 
-    path, df = _scratch(spark, ""), table(spark, sf, "events")
+    path, df = new_path(spark), table(spark, sf, "events")
     df.repartition(4, "event_id").write.parquet(path)
     return file_stream(spark, path, df.schema, files_per_batch=2)
 
@@ -606,7 +598,7 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
     from .streaming import to_table
 
     spark, name = stream.sparkSession, f"t{uuid.uuid4().hex}"
-    run = to_table(stream, name, mode, _scratch(spark, "-checkpoint")).trigger(availableNow=True).start()
+    run = to_table(stream, name, mode, new_path(spark, "-checkpoint")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
 

@@ -57,7 +57,7 @@ def read_csv(spark: SparkSession, path: str, config: ReaderConfig | None = None,
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if config.skip_rows:
         # The rows to skip may have any width, so lines are numbered before they are parsed.
-        lines = with_row_index(spark.read.text(path)).filter(F.col("_row") >= config.skip_rows)
+        lines = with_row_index(spark.read.text(path), scan=True).filter(F.col("_row") >= config.skip_rows)
         head = lines.orderBy("_row").limit(1).collect()
         names = _names(spark, head[0]["value"] if head else "", options, d.has_header)
         body = lines.filter(F.col("_row") > config.skip_rows) if d.has_header else lines

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialise
 
-def with_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Number rows from 0 in the order of partitions: one pass counts the partitions, none moves rows.
 
-    The counts (one for each partition) are broadcast. A single file's splits are in file order.
+def with_row_index(df: DataFrame, name: str = "_row", scan: bool = False) -> DataFrame:
+    """Number rows from 0 in the order of partitions; the counts (one for each partition) are broadcast.
+
+    The partitions are written once, so that counting and numbering see the same ones: a sort picks its
+    bounds anew each time it runs. ``scan`` says that the table is a plain scan, whose splits are always
+    the same, and saves the writing; a single file's splits are in file order.
     """
     at = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = df.groupBy(F.spark_partition_id().alias("__p")).agg(F.count(F.lit(1)).alias("n"))
+    at = at if scan else materialise(at)
+    counts = at.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     runs = counts.agg(F.array_sort(F.collect_list(F.struct("__p", "n"))).alias("runs"))
     starts = runs.select(F.explode(F.transform("runs", lambda r: F.struct(r["__p"].alias("__p"), F.aggregate(F.filter("runs", lambda o: o["__p"] < r["__p"]), F.lit(0).cast("long"), lambda a, o: a + o["n"]).alias("__s")))).alias("s")).select("s.*")
     return at.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")

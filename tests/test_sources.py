@@ -85,8 +85,10 @@ def test_csv_splits_lose_nothing(spark, tmp_path):
         df = csv.read_csv(spark, str(path), schema=[ColumnSchema("index", "int"), ColumnSchema("value")])
         assert df.rdd.getNumPartitions() > 4
         assert df.agg(F.count("*"), F.sum("index"), F.countDistinct("index")).first()[:] == (60_000, sum(range(60_000)), 60_000)
-        numbered = with_row_index(df)
+        numbered = with_row_index(df, scan=True)
         assert numbered.filter("_row <> index").count() == 0
+        turned = with_row_index(df.repartition(8).orderBy(F.desc("index")))
+        assert turned.filter("_row + index <> 59999").count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
