@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import ODD, prose
+from samples import ODD, prose
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
