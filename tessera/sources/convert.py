@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import FileFormat, ReaderConfig, WriterConfig
+from ..operators.fuzzy import fuzzy_left_join
 from .columnar import read_arrow, read_parquet
 from .csv import read_csv, to_csv_text
 from .json import read_json
+from .rows import with_row_index
 from .storage import write_object
 from .workbook import read_workbook, write_workbook
 
@@ -27,6 +29,13 @@ def load(spark: SparkSession, path: str, config: ReaderConfig | None = None) ->
     return read_parquet(spark, path, config) if kind is FileFormat.PARQUET else read_arrow(spark, path)
 
 
+def fuzzy_join_files(spark: SparkSession, left: str, right: str, left_key: str, right_key: str, threshold: float, config: ReaderConfig | None = None) -> DataFrame:
+    """The fuzzy left join of two files of any known kind; of equal matches the right file's first row counts."""
+    other = load(spark, right, config)
+    numbered = other.withColumnRenamed("_row", "__order") if "_row" in other.columns else with_row_index(other, "__order")
+    return fuzzy_left_join(load(spark, left, config), numbered, left_key, right_key, threshold, ["__order"]).drop("__order")
+
+
 def csv_to_workbook(spark: SparkSession, source: str, target: str, reader: ReaderConfig | None = None, writer: WriterConfig | None = None) -> int:
     """Rows converted."""
     return write_workbook(read_csv(spark, source, reader), target, writer)

@@ -49,6 +49,11 @@ def write_delta(df: DataFrame, path: str) -> int:
     return version
 
 
+def sync_catalog(spark: SparkSession, path: str, name: str) -> None:
+    """Make the table's present state known to SQL under a name of the session."""
+    read_delta(spark, path).createOrReplaceTempView(name)
+
+
 def read_delta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The table as of a version, the last one by default."""
     if not exists(spark, f"{path}/_delta_log"):

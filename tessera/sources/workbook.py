@@ -15,7 +15,7 @@ from ..errors import WorkbookError
 from ..functions.values import quoted
 from ..operators.schema import promote
 from . import ods, xlsx
-from .crypto import decrypt_workbook, is_encrypted
+from .crypto import decrypt_ods, decrypt_workbook, is_encrypted, ods_is_encrypted
 from .storage import read_object, write_object
 
 _RAW = "path string, sheet string, sheet_index int, row bigint, kinds array<string>, cells array<string>"
@@ -23,7 +23,7 @@ _RAW = "path string, sheet string, sheet_index int, row bigint, kinds array<stri
 _VOTE = {"bool": "bool", "int": "int", "float": "float", "string": "string", "error": "string", "time": "string", "date": "date", "datetime": "datetime"}
 
 
-def _open(path: str, data: bytes, password: str | None = None):
+def _open(path: str, data: bytes):
     if FileFormat.from_path(path) is FileFormat.ODS:
         return ods.Workbook(data)
     return xlsx.Workbook(data)
@@ -55,10 +55,11 @@ def raw_cells(spark: SparkSession, path: str, config: ReaderConfig) -> DataFrame
         raise WorkbookError(f"nothing at {path}")
     data = bytes(first["content"])
     key = config.password
-    if is_encrypted(data):
+    own = FileFormat.from_path(path) is FileFormat.ODS
+    if ods_is_encrypted(data) if own else is_encrypted(data):
         if key is None:
             raise WorkbookError("the workbook is encrypted; a password is needed")
-        files = spark.createDataFrame([(first["path"], bytearray(decrypt_workbook(spark, data, key)))], "path string, content binary")
+        files = spark.createDataFrame([(first["path"], bytearray((decrypt_ods if own else decrypt_workbook)(spark, data, key)))], "path string, content binary")
         data = bytes(files.first()["content"])
     names = [n for n, _ in _open(first["path"], data).sheets]
     wanted = _wanted(config)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessera import errors
 from tessera.config import Chart, ConditionalFormat, FileFormat, ReaderConfig, WriterConfig
 from tessera.operators.schema import ColumnSchema
-from tessera.sources import columnar, crypto, csv, delta, json, kafka, ods, report, sqltext, storage, xlsx, zipfix
-from tessera.sources.convert import csv_to_workbook, load, workbook_to_csv
+from tessera.sources import columnar, crypto, csv, delta, export, json, kafka, ods, report, sqltext, storage, xlsx, zipfix
+from tessera.sources.convert import csv_to_workbook, fuzzy_join_files, load, workbook_to_csv
 from tessera.sources.rows import with_row_index
 from tessera.sources.sniff import sniff
 from tessera.sources.workbook import read_workbook, sheets, workbook_bytes, write_workbook
@@ -390,3 +390,37 @@ def test_streaming_window(spark, tmp_path):
     run = to_table(running_dedup(file_stream(spark, str(tmp_path / "in"), df.schema).select("t", "k"), ["k"], "t", "1 day"), "d_out", "append").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("d_out").count() == 2
+
+
+def test_encrypted_ods(spark, tmp_path):
+    data, _ = workbook_bytes(spark.createDataFrame([(i, "é" * 40) for i in range(200)], "a long, b string"), FileFormat.ODS)
+    sealed = crypto.encrypt_ods(spark, data, "pw", iterations=500)
+    assert crypto.ods_is_encrypted(sealed) and not crypto.ods_is_encrypted(data) and not crypto.ods_is_encrypted(b"no")
+    with pytest.raises(errors.EncryptionError):
+        crypto.decrypt_ods(spark, sealed, "wrong")
+    path = tmp_path / "e.ods"
+    path.write_bytes(sealed)
+    df = read_workbook(spark, str(path), ReaderConfig(password="pw"))
+    assert df.count() == 200 and df.filter("a = 7").first().b == "é" * 40
+    with pytest.raises(errors.WorkbookError):
+        read_workbook(spark, str(path))
+
+
+def test_exports(spark):
+    df = spark.createDataFrame([(1, 1.5, True, "x", dt.date(2024, 1, 1)), (2, float("nan"), None, None, None)], "i long, d double, b boolean, s string, t date")
+    assert export.to_dicts(df)[0] == {"i": 1, "d": 1.5, "b": True, "s": "x", "t": "2024-01-01"}
+    assert export.to_column_dict(df)["t"] == ["2024-01-01", None] and export.to_column_dict(df.limit(0)) == {}
+    assert [jsonlib.loads(r[0]) for r in export.json_objects(df).collect()][1] == {"i": 2, "d": 0.0, "b": None, "s": None, "t": None}
+    assert export.to_grid(df.select("i"))["columnDefs"] == [{"headerName": "i", "field": "i", "sortable": True, "filter": True}]
+    assert export.to_dicts(df.select("i").toDF(""))[0] == {"col_0": 1}
+
+
+def test_fuzzy_join_of_files(spark, put):
+    left, right = put("l.csv", "employee,dept\nBob,Engineering\n"), put("r.csv", "ref,department\nEngineering Dept,R&D\nEngineering Dept,late\n")
+    assert rows(fuzzy_join_files(spark, left, right, "dept", "ref", 0.6)) == [("Bob", "Engineering", "R&D")]
+
+
+def test_catalog(spark, tmp_path):
+    delta.write_delta(spark.range(3), str(tmp_path / "t"))
+    delta.sync_catalog(spark, str(tmp_path / "t"), "synced")
+    assert spark.sql("SELECT count(*) FROM synced").first()[0] == 3
