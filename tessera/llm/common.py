@@ -50,6 +50,24 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once: texts are long and differ in length by orders of magnitude."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def hash_sample(rows: DataFrame, column: str, most: int, *ties: str) -> DataFrame:
+    """The rows with the smallest hashes of a column, ``most`` at most.
+
+    Rows that can't be among them by far are filtered out first, so that no task gathers the best of
+    every partition of a large table.
+    """
+    n, place = rows.count(), F.xxhash64(column)
+    if n > most:
+        rows = rows.filter(place.cast("double") < F.lit((2.2 * most / n - 1) * 2.0**63))
+    return rows.orderBy(place, column, *ties).limit(most)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for a row, however often ``body`` refers to it."""
     return F.transform(F.array(value), body)[0]

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -226,6 +226,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of each row of ``docs``: doc_id, text_key, n_shingles, component_id, kept."""
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
     sketched = materialise(slim.mapInPandas(_sketched, f"doc_id {id_type}, text_key bigint, digest binary, n_shingles bigint, bands array<bigint>"))

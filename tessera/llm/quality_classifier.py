@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
+from .common import hash_sample, small_batches
 
 MAX_TRAIN = 20_000
 _CLASSES = {
@@ -74,8 +75,9 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, learn: Column, most: int) -> DataFrame:
     """Text and label of at most ``most`` documents whose labels may be learnt. The broadcast side has that bound."""
+    small_batches(docs.sparkSession)
     pick = labels.select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("y")).filter("__id IS NOT NULL AND y IN (0, 1)").filter(learn)
-    pick = pick.orderBy(F.xxhash64("__id"), "__id", "y").limit(most)
+    pick = hash_sample(pick, "__id", most, "y")
     return docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
 
 
