@@ -2,9 +2,9 @@
 
 Hundreds of regular expressions, one per license and way of naming it, are tried in order of priority.
 An Aho-Corasick automaton over the rules' keywords goes over the text first, and only rules whose keyword
-occurs are run. Overlapping detections are resolved by priority and containment: a detection whose
-interval lies inside one of equal or higher priority is suppressed ("GPL" inside "Lesser GPL"), as is one
-that a higher priority contains or overlaps.
+occurs are run. Overlapping detections are resolved by containment and priority: a detection whose
+interval lies inside another's is suppressed ("GPL" inside "Lesser GPL"), and of two that overlap in part
+the one of higher priority stands.
 
 The base counts ask for something plainer: places where the words of a few phrases stand consecutively.
 They are taken from the same pass over the same text.
@@ -16,6 +16,7 @@ equal results; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,23 +147,26 @@ class Scanner:
 
 
 def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Drop detections that overlap one of higher priority.
+    """The detections that stand, in order of their places.
 
-    Detections are taken longest first where one contains the other and by priority otherwise, so the
-    fullest statement of a license stands and the shorter names inside it go. The kept intervals never
-    overlap, so each new one is checked against its two neighbours only.
+    First containment: a detection whose interval lies inside another's goes, the one of lower priority if
+    the intervals are equal. What is left overlaps in part at most and is taken in order of priority; a
+    detection that overlaps one already taken goes. Copyright notices give way to licenses throughout.
     """
-    from bisect import bisect_right, insort
-
-    kept: list[tuple[int, int, int]] = []
-    out = []
-    for n, (start, end, rule) in enumerate(sorted(found, key=lambda x: (x[2].kind == "notice", -(x[1] - x[0]), x[2].priority, x[0]))):
-        k = bisect_right(kept, (start, 1 << 62, 0))
-        if (k and kept[k - 1][1] > start) or (k < len(kept) and kept[k][0] < end):
-            continue
-        insort(kept, (start, end, n))
-        out.append((start, end, rule))
-    return sorted(out, key=lambda x: x[:2])
+    licenses = [x for x in found if x[2].kind != "notice"]
+    taken: list[tuple[int, int, Rule]] = []
+    for group in (licenses, [x for x in found if x[2].kind == "notice"]):
+        free, end = [], -1
+        for x in sorted(group, key=lambda x: (x[0], -x[1], x[2].priority)):
+            # Starts rise, so an interval lies inside an earlier one if its end is no further than the furthest so far.
+            if x[1] > end:
+                free.append(x)
+                end = x[1]
+        for x in sorted(free, key=lambda x: (x[2].priority, x[0])):
+            at = bisect_left(taken, x[0], key=lambda t: t[1] - 1)
+            if at == len(taken) or taken[at][0] >= x[1]:
+                taken.insert(at, x)
+    return taken
 
 
 def base_places(words: list[str]) -> list[tuple[int, str]]:

@@ -272,6 +272,17 @@ def test_license_rules(text, want):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(1, 8), st.integers(0, 5)), max_size=12))
+def test_suppression(spans):
+    found = [(a, a + n, licenses.Rule(str(p), "name", re.compile("x"), 0.5, p)) for a, n, p in spans]
+    out = licenses.suppress(found)
+    assert all(x[1] <= y[0] for x, y in zip(out, out[1:], strict=False)) and bool(out) == bool(found)
+    for x in found:
+        # What went lies inside another detection or overlaps one that stands.
+        assert x in out or any(y[0] < x[1] and x[0] < y[1] for y in out) or any(y is not x and y[0] <= x[0] and x[1] <= y[1] for y in found)
+
+
 def test_license_rules_are_gated_and_many():
     rules, words = licenses.build_rules()
     assert len(rules) > 200
