@@ -234,13 +234,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
 
     met = classes.select("digest", F.explode("bands").alias("band"))
-    hubs = met.groupBy("band").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # One row per bucket, class of blocks or component is written before it is joined back: the join then has
+    # exchanges of its own on both sides, and the engine can split the rows of a hot one between tasks.
+    hubs = materialise(met.groupBy("band").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     meets = met.join(hubs, "band").filter("digest <> hub").select(F.col("digest").alias("u"), F.col("hub").alias("v"))
     clusters = materialise(connected_components(meets).withColumnsRenamed({"node": "digest", "label": "cluster"}))
 
     members = clusters.join(classes.select("digest", "one", "n_shingles"), "digest")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    blocks = materialise(sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")))
     chosen = members.join(blocks, "cluster").select("digest", "cluster", "n_blocks", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"))
     # Repeated rows have the same id and text: one of them is enough.
     texts = slim.join(chosen, slim["doc_id"].eqNullSafe(chosen["doc_id"]) & (slim["text_key"] == chosen["text_key"])).select("digest", "cluster", "n_blocks", "text")
@@ -254,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = connected_components(links).withColumnsRenamed({"node": "digest"})
 
     linked = classes.select("digest", "first_id").join(found, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    least = materialise(linked.groupBy("label").agg(F.min("first_id").alias("component_id")))
     component = linked.join(least, "label").select("digest", "component_id")
     rest = sketched.filter("digest IS NULL").withColumn("component_id", F.col("doc_id")).select("doc_id", "text_key", "n_shingles", "component_id")
     out = full.select("doc_id", "text_key", "digest", "n_shingles").join(component, "digest").select("doc_id", "text_key", "n_shingles", "component_id")
