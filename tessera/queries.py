@@ -623,3 +623,86 @@ def stream_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
     df = _event_stream(spark, sf).withColumn("parity", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
     return rounded(_drained(running_pivot(df, "event_type", "parity", "value", ["even", "odd"]), "complete"), "even", "odd")
+
+
+# More of the surface
+
+
+@register("apply_schema", "SELECT c_custkey AS a, CAST(c_acctbal AS VARCHAR) AS b, CAST(c_nationkey AS DOUBLE) AS c FROM customer WHERE c_acctbal <> trunc(c_acctbal)")
+def schema_applied(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.schema import apply_schema
+
+    df = table(spark, sf, "customer").filter("c_acctbal <> floor(c_acctbal) AND c_acctbal <> ceil(c_acctbal)").select(F.col("c_custkey").cast("string").alias("a"), F.col("c_acctbal").alias("b"), F.col("c_nationkey").alias("c"))
+    return apply_schema(df, [ColumnSchema("a", "int"), ColumnSchema("b", "string"), ColumnSchema("c", "float")])
+
+
+@register("sort_within_partitions", "SELECT o_orderkey, o_orderdate FROM orders")
+def sorted_parts(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.sort import sort_within
+
+    return sort_within(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [SortKey("o_orderdate", descending=True)], ["o_orderkey"])
+
+
+@register("bloom_keys", "SELECT count(DISTINCT c_mktsegment) AS present, 0::BIGINT AS missed FROM customer")
+def bloom_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """No key that was put in is missed; the segments are few by their meaning."""
+    from .operators.dedup import bloom_filter
+
+    df = table(spark, sf, "customer")
+    bloom = bloom_filter(df, "c_mktsegment", 1000, 0.01)
+    keys = [r[0] for r in df.select("c_mktsegment").distinct().collect()]
+    return spark.createDataFrame([(len(keys), sum(not bloom.mightContain(k) for k in keys))], "present bigint, missed bigint")
+
+
+@register("csv_bytes", "SELECT * FROM (VALUES (1::BIGINT, 'x, y', true), (2::BIGINT, NULL, false)) AS t(id, words, flag)")
+def csv_from_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return csv.read_csv_bytes(spark, b'id,words,flag\n1,"x, y",yes\n2,,no\n')
+
+
+@register("load_by_name", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def load_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """A table turned into a CSV object, a workbook, a CSV object again, and read by its name."""
+    from .sources.convert import csv_to_workbook, load, workbook_to_csv
+    from .sources.storage import write_object
+
+    first, book, second = (new_path(spark, x) for x in (".csv", ".xlsx", "-back.csv"))
+    write_object(spark, first, csv.to_csv_text(table(spark, sf, "region")).encode())
+    csv_to_workbook(spark, first, book)
+    workbook_to_csv(spark, book, second)
+    return load(spark, second)
+
+
+@register("all_sheets", "SELECT 'Sheet1' AS _sheet, CAST(n_nationkey AS BIGINT) AS _row, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def all_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, ".xlsx")
+    workbook.write_workbook(table(spark, sf, "nation").select("n_nationkey", "n_name"), path, order=["n_nationkey"])
+    return workbook.read_workbook(spark, path, ReaderConfig(all_sheets=True))
+
+
+@register("fuzzy_join_files", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, CAST(r_regionkey AS BIGINT) AS code FROM region")
+def fuzzy_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions against their own names with a letter changed."""
+    from .sources.convert import fuzzy_join_files
+    from .sources.storage import write_object
+
+    left, right = new_path(spark, ".csv"), new_path(spark, ".csv")
+    df = table(spark, sf, "region")
+    write_object(spark, left, csv.to_csv_text(df).encode())
+    write_object(spark, right, csv.to_csv_text(df.select(F.col("r_regionkey").alias("code"), F.regexp_replace("r_name", "E", "e").alias("name"))).encode())
+    return fuzzy_join_files(spark, left, right, "r_name", "name", 0.6)
+
+
+@register("json_objects", """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' AS value FROM supplier""")
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from .sources.export import json_objects
+
+    return json_objects(table(spark, sf, "supplier").select("s_suppkey", "s_name"))
+
+
+@register("windowed_sums", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(value) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
+def windowed_sums(spark: SparkSession, sf: str) -> DataFrame:
+    from .streaming import windowed
+
+    events = _event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
+    done = _drained(windowed(events, "at", "1 day", [AggregateSpec("value", "count", "n"), AggregateSpec("value", "sum", "total")]), "complete")
+    return rounded(done.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "total"), "total")
