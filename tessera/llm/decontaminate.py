@@ -100,7 +100,7 @@ def _covered(spans: Column) -> Column:
     return done["n"]
 
 
-def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Hits of benchmark windows in each document.
 
     Returns the columns ``keep`` (doc_id unless named), n_words, n_hit, n_items, item_ids (array),
@@ -111,7 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     shape = wins.agg(F.count("*").alias("n"), F.collect_set(F.least(F.lit(SHINGLE), F.col("len"))).alias("k")).first()
     n_windows, lengths = shape["n"], sorted(shape["k"] or [])
     kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    words = alnum_words(F.col("text"))
+    words = alnum_words(F.col(text_col))
     if not lengths:
         none = docs.select(kept.alias("keep"), F.size(words).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
     else:
@@ -141,5 +141,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without any benchmark window, all columns kept."""
-    return contamination(docs, items, docs.columns).filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents without any benchmark window, all columns kept, whatever their names."""
+    safe = [f"__d{i}" for i in range(len(docs.columns))]
+    found = contamination(docs.toDF(*safe), items, safe, safe[docs.columns.index("text")])
+    return found.filter(~F.col("contaminated")).select(*[F.col(s).alias(c) for s, c in zip(safe, docs.columns, strict=True)])

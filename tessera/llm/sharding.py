@@ -115,10 +115,12 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], n_shards: int, keep:
     """Cut the curve into ``n_shards`` runs whose row counts differ by one at most.
 
     ``keep`` gives the columns of the result, ``dims`` the dimensions, ``tie`` what orders rows of a cell.
-    Adds ``curve`` (index on the curve), ``shard`` and ``slot`` (position in the shard, from 0).
+    Adds ``curve`` (index on the curve), ``shard`` and ``slot`` (position in the shard, from 0); columns of
+    the input with these names give way to them.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
+    keep = {k: c for k, c in keep.items() if k not in ("curve", "shard", "slot")}
     order = ["__hs_curve", *[f"__hs_tie{i}" for i in range(len(tie))]]
     slim = df.select(*[c.alias(k) for k, c in keep.items()], hilbert_cell(df, dims, bits).alias("__hs_curve"), *[c.alias(f"__hs_tie{i}") for i, c in enumerate(tie)])
     ranked = global_rank(slim, order)
