@@ -39,8 +39,10 @@ INSULTS = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine euch ihr sie usted ustedes tú ti tus vosotros".split())
 _LEET = str.maketrans("013457@$!|8", "oieastasi" + "lb")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*", re.UNICODE)
-_HIDDEN = re.compile(r"[^\W\d_]+[0-9@$!|*#]+[^\W\d_]+|[@$*#][^\W\d_]{2,}|[^\W\d_]\*{2,}", re.UNICODE)
+_WORD = re.compile(r"[^\W_]+", re.UNICODE)
+#: For ASCII text: letters in lower case and digits stay, the rest becomes spaces.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_HIDDEN = re.compile(r"[0-9@$!|*#]*[^\W\d_]+(?:[0-9@$!|*#]+[^\W\d_]+)+|[@$*#][^\W\d_]{2,}|[^\W\d_]\*{2,}", re.UNICODE)
 _SPLIT = re.compile(r"\b(?:[^\W\d_][.\-_ ]){3,}[^\W\d_]\b", re.UNICODE)
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}", re.UNICODE)
 
@@ -50,49 +52,76 @@ def _squeeze(word: str) -> str:
     return _DRAWN.sub(r"\1", re.sub(r"[^\w]", "", word.translate(_LEET)))
 
 
+_SIGNS = np.array([ord(c) for c in "0123456789@$!|*#"], np.uint32)
+_GAPS = np.array([ord(c) for c in ".-_ "], np.uint32)
+_SMALL = np.zeros((2, 128), bool)
+_SMALL[0, _SIGNS], _SMALL[1, _GAPS] = True, True
+
+
+def _traits(text: str) -> tuple[bool, bool, bool]:
+    """Whether the text can hold disguised, split or drawn-out words: exact necessary conditions, far
+    cheaper than the patterns that look for such words."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(code) < 3:
+        return True, True, True
+    low = np.minimum(code, 127)
+    gap = _SMALL[1][low]
+    same = code[1:] == code[:-1]
+    triple = same[1:] & same[:-1]
+    return bool(_SMALL[0][low].any()), bool((gap[:-4] & gap[2:-2] & gap[4:]).any()), bool((code[2:][triple] >= 65).any())
+
+
 def make_features(learnt: dict[str, float]) -> Callable[[str | None], list[float]]:
     """The feature function for a learnt lexicon of weights by word or ``beginning*``."""
     whole = {k: v for k, v in learnt.items() if not k.endswith("*")}
     stems = {k[:-1]: v for k, v in learnt.items() if k.endswith("*")}
-    cache: dict[str, tuple[float, bool]] = {}
-
-    def weight(word: str) -> tuple[float, bool]:
-        found = cache.get(word)
-        if found is None:
-            best = max([whole.get(word, 0.0), *(stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n)])
-            found = (best, word in INSULTS)
-            if len(cache) < 200_000:
-                cache[word] = found
+    cache: dict[str, tuple[float, bool] | None] = {}
+
+    def weight(word: str) -> tuple[float, bool] | None:
+        """Lexicon weight of a word and whether it is an insult; None for other words."""
+        if word in cache:
+            return cache[word]
+        best = max([whole.get(word, 0.0), *(stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n)])
+        found = (best, word in INSULTS) if best or word in INSULTS else None
+        if len(cache) < 200_000:
+            cache[word] = found
         return found
 
     def features(text: str | None) -> list[float]:
-        text = unicodedata.normalize("NFKC", text or "") if not (text or "").isascii() else text or ""
-        words = _WORD.findall(text.lower())
-        n = max(1, len(words))
-        hits, total, strong, plain, best = [], 0.0, 0, 0, 0.0
-        for i, w in enumerate(words):
-            x, insult = weight(w)
-            if x or insult:
-                hits.append(i)
-                total += x
-                strong += x >= 3
-                plain += insult
-                best = max(best, x)
-        you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        near = 0
-        if hits and you:
+        text = text or ""
+        if text.isascii():
+            words = text.encode().translate(_PLAIN).decode("ascii").split()
+        else:
+            text = unicodedata.normalize("NFKC", text)
+            words = _WORD.findall(text.lower())
+        n, kinds = max(1, len(words)), set(words)
+        marked = {w: x for w in kinds if (x := weight(w)) is not None}
+        hits = [i for i, w in enumerate(words) if w in marked] if marked else []
+        total, strong, plain, best = 0.0, 0, 0, 0.0
+        for i in hits:
+            x, insult = marked[words[i]]
+            total += x
+            strong += x >= 3
+            plain += insult
+            best = max(best, x)
+        said = kinds & SECOND_PERSON
+        n_you, near = sum(map(words.count, said)), 0
+        if hits and said:
+            you = [i for i, w in enumerate(words) if w in said]
             at = np.searchsorted(you, hits)
             gaps = [min(abs(you[k] - h) for k in (a - 1, a) if 0 <= k < len(you)) for a, h in zip(at.tolist(), hits, strict=True)]
             near = sum(g <= 5 for g in gaps)
-        hidden = _HIDDEN.findall(text)
-        disguised = [_squeeze(w.lower()) for w in hidden] + [re.sub(r"[^\w]|_", "", m).lower() for m in _SPLIT.findall(text)]
-        found = [x for x in (weight(w) for w in disguised) if x[0] >= 2 or x[1]]
-        letters = max(1, sum(map(len, words)))
+        signs, gapped, triple = _traits(text)
+        hidden = _HIDDEN.findall(text) if signs else []
+        split = _SPLIT.findall(text) if gapped else []
+        drawn = len(_DRAWN.findall(text)) if triple else 0
+        disguised = [_squeeze(w.lower()) for w in hidden] + [re.sub(r"[^\w]|_", "", m).lower() for m in split]
+        found = [x for x in map(weight, disguised) if x is not None and (x[0] >= 2 or x[1])]
         upper = sum(map(str.isupper, text.split()))
         return [
-            plain, plain / n, strong, strong / n, total, total / n, best, len(hits) / n, near, near / n, len(you) / n,
+            plain, plain / n, strong, strong / n, total, total / n, best, len(hits) / n, near, near / n, n_you / n,
             math.log1p(len(words)), upper / n, text.count("!") / n, text.count("?") / n, (text.count("*") + text.count("$") + text.count("#")) / n,
-            len(hidden) / n, len(disguised) / n, len(found), len(_DRAWN.findall(text)) / n, letters / n,
+            len(hidden) / n, len(disguised) / n, len(found), drawn / n, sum(map(len, words)) / n,
         ]
 
     return features
