@@ -24,11 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, materialise
+from .common import alnum_words, materialise, small_batches
 
 SIDE = 2
 CLASSES = 32  # the last two are rare words and the outside of the text
@@ -128,74 +129,77 @@ class Vocabulary:
         self.unigram[RARE] = rare / (total + CLASSES)
         self.unigram[EDGE] = 1e-6
         shares = np.log(counts / sums[group]) if len(words) else np.zeros(0)
-        self.index = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.string())
         self.group = np.concatenate((group, [RARE])).astype(np.int8)
         self.share = np.concatenate((shares, [0.0])).astype(np.float32)
         self.kinds = max(1, distinct - len(words))
 
-    def classes(self, words: list[str]) -> np.ndarray:
-        get, none = self.index.get, len(self.index)
-        return np.fromiter((get(w, none) for w in words), np.int32, len(words))
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Number of each word; words that aren't known get the number after the last. No Python object per word."""
+        found = pc.index_in(words, value_set=self.words.cast(words.type))
+        return pc.fill_null(found, len(self.words)).to_numpy(zero_copy_only=False)
 
-    def shares(self, index: np.ndarray, words: list[str]) -> np.ndarray:
+    def shares(self, index: np.ndarray, words: pa.Array) -> np.ndarray:
         out = self.share[index].astype(np.float64)
-        rare = np.flatnonzero(index == len(self.index))
+        rare = np.flatnonzero(index == len(self.words))
         # A rare word's share: even over the rare kinds, less for longer words (a geometric law of lengths).
-        out[rare] = [-np.log(self.kinds) - 0.05 * len(words[i]) for i in rare.tolist()]
+        out[rare] = -np.log(self.kinds) - 0.05 * pc.utf8_length(words.take(pa.array(rare))).to_numpy(zero_copy_only=False)
         return out
 
 
 def corpus_vocabulary(docs_words: DataFrame) -> Vocabulary:
-    """Counts of words over all documents; the ``VOCABULARY`` most frequent become known words."""
+    """Counts of words over all documents; the most frequent, ``VOCABULARY`` at most, become known words.
+
+    A histogram of the counts (a few thousand steps, finer for small counts) tells how frequent a word must
+    be, so only known words reach the driver.
+    """
     counts = materialise(docs_words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     row = counts.agg(F.sum("n").alias("t"), F.count("*").alias("d")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64)).cast("int")
+    least, known = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        if known + r["k"] > VOCABULARY:
+            break
+        least, known = r["s"], known + r["k"]
+    top = counts.filter(step >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     return Vocabulary(top["word"].tolist(), top["n"].to_numpy(np.float64), int(row["t"] or 0), int(row["d"]))
 
 
-def _laid(texts: pd.Series) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-    """Words of whole documents end to end, in portions of about 200,000 words: rows, words, ends."""
-    rows, words, ends = [], [], []
-    for i, w in enumerate(texts):
-        rows.append(i)
-        words.extend(w)
-        ends.append(len(words))
-        if len(words) > 200_000:
-            yield np.array(rows), words, np.array(ends)
-            rows, words, ends = [], [], []
-    if rows:
-        yield np.array(rows), words, np.array(ends)
+def _laid(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Words of a batch's documents end to end, and where each document ends."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.cumsum(lengths, dtype=np.int64)
 
 
-def train(docs_words: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = 0.5) -> Network:
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = 0.5) -> Network:
     """Rounds of local steps over all documents and averages of the weights.
 
-    Round k of n takes the documents whose hash falls in its share, so that a document is learnt from
+    Round k of n takes the documents whose text's hash falls in its share, so that a document is learnt from
     once and all are. The driver receives one set of weights (a few kilobytes) from each partition.
     """
-    sc = docs_words.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     network = Network.start(vocabulary.unigram)
     known = sc.broadcast(vocabulary)
     for k in range(rounds):
         start, speed = network.flat(), rate / (1 + k)
 
-        def run(batches: Iterator[pd.DataFrame], start: np.ndarray = start, speed: float = speed) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, speed: float = speed) -> Iterator[pa.RecordBatch]:
             net, seen, v = Network.of(start), 0, known.value
             for b in batches:
-                for _, words, ends in _laid(b["w"]):
-                    target = v.group[v.classes(words)]
-                    context = windows(target, ends)
-                    # Neighbouring words go to different steps.
-                    n = max(1, -(-len(target) // STEP))
-                    for j in range(n if len(target) else 0):
-                        net.step(context[:, j::n], target[j::n], speed)
-                    seen += len(target)
+                words, ends = _laid(b.column("w"))
+                target = v.group[v.numbers(words)]
+                context = windows(target, ends)
+                # Neighbouring words go to different steps.
+                n = -(-len(target) // STEP)
+                for j in range(n):
+                    net.step(context[:, j::n], target[j::n], speed)
+                seen += len(target)
             if seen:
-                yield pd.DataFrame({"n": [seen], "weights": [net.flat().tolist()]})
+                yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "weights": pa.array([net.flat()], pa.list_(pa.float32()))})
 
-        share = docs_words.filter(F.pmod(F.xxhash64("w"), F.lit(rounds)) == k).select("w")
+        share = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select(alnum_words(F.col("text")).alias("w"))
         # Weights are averaged by the words they have seen, element by element, in a grouped sum.
-        sent = share.mapInPandas(run, "n bigint, weights array<float>")
+        sent = share.mapInArrow(run, "n bigint, weights array<float>")
         total = sent.select("n", F.posexplode("weights").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x")).orderBy("i").collect()
         if total:
             network = Network.of(np.array([r["x"] for r in total]))
@@ -204,28 +208,30 @@ def train(docs_words: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, r
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pseudo-likelihood of every document: doc_id, n_words, log_likelihood (sum) and mean_log_likelihood."""
-    words = docs.select(F.col(id_col).alias("doc_id"), alnum_words(F.col(text_col)).alias("w"))
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    words = slim.select("doc_id", alnum_words(F.col("text")).alias("w"))
     vocabulary = corpus_vocabulary(words)
-    network = train(words, vocabulary)
+    network = train(slim, vocabulary)
     known, weights = docs.sparkSession.sparkContext.broadcast(vocabulary), network.flat()
     kind = words.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, v = Network.of(weights), known.value
         for b in batches:
-            for rows, tokens, ends in _laid(b["w"]):
-                index = v.classes(tokens)
-                target = v.group[index]
-                context = windows(target, ends)
-                found = v.shares(index, tokens)
-                for i in range(0, len(target), BATCH):
-                    part = slice(i, i + BATCH)
-                    lp = net.log_probabilities(net.hidden(context[:, part]))
-                    found[part] += lp[np.arange(len(lp)), target[part]]
-                sums = np.concatenate(([0.0], np.cumsum(found)))
-                begins = np.concatenate(([0], ends[:-1]))
-                total, n = sums[ends] - sums[begins], ends - begins
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[rows].to_numpy(), "n_words": n, "log_likelihood": total})
-
-    out = words.mapInPandas(run, f"doc_id {kind}, n_words bigint, log_likelihood double")
+            tokens, ends = _laid(b.column("w"))
+            index = v.numbers(tokens)
+            target = v.group[index]
+            context = windows(target, ends)
+            found = v.shares(index, tokens)
+            for i in range(0, len(target), BATCH):
+                part = slice(i, i + BATCH)
+                lp = net.log_probabilities(net.hidden(context[:, part]))
+                found[part] += lp[np.arange(len(lp)), target[part]]
+            begins = np.concatenate(([0], ends[:-1]))
+            sums = np.concatenate(([0.0], np.cumsum(found)))
+            total = sums[ends] - sums[begins] if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends - begins if b.num_rows else [], pa.int64()), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
+
+    out = words.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
