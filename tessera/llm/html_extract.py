@@ -358,7 +358,8 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if found:
                 x = features(found)
                 rows += [(list(map(float, x[i])), float(b.main and not b.chrome)) for i, b in enumerate(found) if b.main or b.chrome]
-        yield pd.DataFrame({"x": [r[0] for r in rows], "y": [r[1] for r in rows]})
+        if rows:
+            yield pd.DataFrame({"x": [r[0] for r in rows], "y": [r[1] for r in rows]})
 
 
 def train(pages: DataFrame) -> np.ndarray:
@@ -371,12 +372,13 @@ def train(pages: DataFrame) -> np.ndarray:
 def extract_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     weights = train(pages) if weights is None else weights
-    slim = pages.select("page_id", "url", "html")
-    kind = slim.schema["page_id"].dataType.simpleString()
+    # Ids travel as text: pandas would turn whole numbers with nulls among them into floats.
+    slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [extract(p, weights) for p in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return slim.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    out = slim.mapInPandas(run, "page_id string, url string, text string, n_chars bigint")
+    return out.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))

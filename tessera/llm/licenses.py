@@ -221,9 +221,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score and
     detections (label, kind, and start and end in characters). The score is the chance that at least one
     standing detection is right, if each is with its rule's weight."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(
+    # Ids travel as text: pandas would turn whole numbers with nulls among them into floats.
+    slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    found = slim.mapInPandas(
         _scan,
-        f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, score double, detections array<struct<label:string,kind:string,start:bigint,end:bigint>>",
+        "doc_id string, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, score double, detections array<struct<label:string,kind:string,start:bigint,end:bigint>>",
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

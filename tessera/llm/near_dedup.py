@@ -228,8 +228,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    id_type = slim.schema["doc_id"].dataType.simpleString()
-    sketched = materialise(slim.mapInPandas(_sketched, f"doc_id {id_type}, text_key bigint, digest binary, n_shingles bigint, bands array<bigint>"))
+    # Ids travel as text: pandas would turn whole numbers with nulls among them into floats.
+    told = slim.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketched, "doc_id string, text_key bigint, digest binary, n_shingles bigint, bands array<bigint>")
+    sketched = materialise(told.withColumn("doc_id", F.col("doc_id").cast(slim.schema["doc_id"].dataType)))
     full = sketched.filter("digest IS NOT NULL")
     classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
 

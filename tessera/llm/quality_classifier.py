@@ -96,7 +96,9 @@ def feature_rows(rows: DataFrame, features: Callable[[str | None], list[float]])
 
 def scored(docs: DataFrame, features: Callable[[str | None], list[float]], score: Callable[[np.ndarray], np.ndarray], out: Column, id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col("text"))
+    # Ids travel as text: pandas would turn whole numbers with nulls among them into floats.
+    kind = docs.schema[id_col].dataType
+    slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), out.alias("held_out"), F.col("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -105,7 +107,7 @@ def scored(docs: DataFrame, features: Callable[[str | None], list[float]], score
                 s = np.clip(score(np.array([features(t) for t in part["text"]], np.float64)), 0, 1)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return slim.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:

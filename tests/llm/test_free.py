@@ -402,6 +402,19 @@ def test_scores_of_odd_texts(docs):
     assert lm_scoring.score(docs([])).count() == 0
 
 
+# Ids
+
+
+def test_large_ids_survive_nulls(spark, docs):
+    big = 2**60 + 1
+    df = docs([(big, prose(1)), (None, prose(2)), (big + 2, prose(3))])
+    for out in (near_dedup.near_duplicates(df), licenses.scan(df), lm_scoring.score(df), quality_classifier.quality_scores(df, labels(spark, [(big, 1, 0)]))):
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None, big + 2}
+        assert out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    pages = spark.createDataFrame([(big, "u", ARTICLE), (None, "u", ARTICLE)], "page_id long, url string, html string")
+    assert {r.page_id for r in html_extract.extract_pages(pages).collect()} == {big, None}
+
+
 # Registry
 
 
