@@ -79,10 +79,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _ASCII_UPPER, _ASCII_UPPER.lower()))
 
 
+def spaced(text: Column) -> Column:
+    """Null as '', and each of \\x09-\\x0D as a space. Single replacements scan much faster than ``translate``."""
+    out = F.coalesce(text, F.lit(""))
+    for c in _SPACES[1:]:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def space_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; null text has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), _SPACES, " " * len(_SPACES))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def alnum_words(text: Column) -> Column:

@@ -3,7 +3,8 @@
 Each rule looks at one statistic of a document and votes good (1), bad (-1) or abstains (0). Nobody
 knows the true quality; expectation-maximisation over the votes of all documents estimates how often
 each rule is right and how common good documents are, and the posterior probability that a document
-is good decides, instead of demanding that all rules pass.
+is good decides, instead of demanding that all rules pass. A rule has one accuracy on good documents and
+another on bad ones.
 
 All statistics are computed inside the row (arrays and higher-order functions), so the text is never
 exploded or shuffled. Votes are counted by pattern, at most ``3 ** len(RULES)`` patterns whatever the
@@ -20,10 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACES, let, materialise, space_words
+from .common import let, materialise, spaced
 
 WINDOW = 5
-SYMBOLS = "#*$%&|<>"
 
 
 def repeated_words(words: Column) -> Column:
@@ -69,22 +69,29 @@ def repeated_words(words: Column) -> Column:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The statistics that the rules look at, one row per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    base = docs.select(F.col(id_col).alias(id_col), text.alias("__t"), space_words(F.col(text_col)).alias("__w"), lines.alias("__l"))
-    chars = F.length(F.translate("__t", _SPACES, ""))
+    base = docs.select(F.col(id_col).alias(id_col), text.alias("__t"), spaced(F.col(text_col)).alias("__s"))
+    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
+    base = base.select(id_col, "__t", "__s", F.array_remove(F.split("__s", " "), "").alias("__w"), lines.alias("__l"))
+    count = lambda pattern: F.regexp_count("__t", F.lit(pattern)).cast("long")
+    single = lambda c: (F.length("__t") - F.length(F.replace("__t", F.lit(c), F.lit("")))).cast("long")
     return base.select(
         id_col,
         F.size("__w").cast("long").alias("n_words"),
-        chars.cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.aggregate("__w", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        count(r"[#*$%&|<>]").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__w")).cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
         F.size(F.array_distinct("__w")).cast("long").alias("n_distinct"),
-        (F.length("__t") - F.length(F.translate("__t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
-        (F.length("__t") - F.length(F.translate("__t", ".,;:!?", ""))).cast("long").alias("n_marks"),
-        (F.length("__t") - F.length(F.translate("__t", "0123456789", ""))).cast("long").alias("n_digits"),
-        (F.length("__t") - F.length(F.translate("__t", "!", ""))).cast("long").alias("n_shouts"),
+        count("[A-Z]").alias("n_capitals"),
+        count("[.,;:!?]").alias("n_marks"),
+        count("[0-9]").alias("n_digits"),
+        single("!").alias("n_shouts"),
+        single("#").alias("n_hashes"),
+        single("*").alias("n_stars"),
+        single("|").alias("n_pipes"),
+        (single("%") + single("&") + single("$")).alias("n_markup"),
+        F.regexp_count("__s", F.lit(r" [^\p{L} ]+(?= )")).cast("long").alias("n_bare"),
     )
 
 
@@ -107,37 +114,59 @@ def rules() -> dict[str, Column]:
         "capitals": _vote(c("n_capitals") < 0.15 * chars, c("n_capitals") > 0.4 * chars),
         "marks": _vote((c("n_marks") >= 0.02 * words) & (c("n_marks") <= 0.5 * words), c("n_marks") > 0.9 * words),
         "digits": _vote(c("n_digits") < 0.1 * chars, c("n_digits") > 0.3 * chars),
+        "hashes": _vote(c("n_hashes") < 0.02 * words, c("n_hashes") > 0.1 * words),
+        "stars": _vote(c("n_stars") < 0.02 * words, c("n_stars") > 0.1 * words),
+        "pipes": _vote(c("n_pipes") < 0.02 * words, c("n_pipes") > 0.1 * words),
+        "markup": _vote(c("n_markup") < 0.02 * words, c("n_markup") > 0.1 * words),
+        "bare": _vote(c("n_bare") < 0.05 * words, c("n_bare") > 0.2 * words),
         "shouting": _vote(c("n_shouts") < 0.02 * words, c("n_shouts") > 0.2 * words),
     }
 
 
-def posterior(votes: list[Column], accuracy: list[float], prior: float) -> Column:
-    """P(good | votes) when rules err independently and a rule's accuracy doesn't depend on the class."""
-    logit = F.lit(math.log(prior / (1 - prior)))
-    for v, a in zip(votes, accuracy, strict=True):
-        logit = logit + v * F.lit(math.log(a / (1 - a)))
+#: Starting points and bounds of the accuracies: of votes on good documents, and on bad ones. A bad document
+#: breaks some rules and passes many, so a vote against says far more than a vote for.
+_START, _GOOD_BOUNDS, _BAD_BOUNDS = (0.97, 0.35), (0.7, 0.999), (0.05, 0.99)
+
+
+def posterior(votes: list[Column], accuracy: list[tuple[float, float]], prior: float) -> Column:
+    """P(good | votes) when rules err independently, each with an accuracy on good and one on bad documents."""
+    weights = [math.log(prior / (1 - prior))]
+    for on_good, on_bad in accuracy:
+        weights += [math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)]
+    # An array literal is handed to the compiled code as an object, so steps with other weights share the code.
+    w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    logit = F.get(w, F.lit(0))
+    for i, v in enumerate(votes):
+        logit = logit + F.when(v == 1, F.get(w, F.lit(2 * i + 1))).when(v == -1, F.get(w, F.lit(2 * i + 2))).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 
-def fit(votes: DataFrame, names: list[str], steps: int = 20, tolerance: float = 1e-4) -> tuple[list[float], float]:
+def fit(votes: DataFrame, names: list[str], steps: int = 30, tolerance: float = 1e-3) -> tuple[list[tuple[float, float]], float]:
     """Accuracies of the rules and the share of good documents, by expectation-maximisation.
 
-    A vote's accuracy starts at 0.8 and stays in [0.55, 0.99], which fixes which class is the good one.
-    The counts of a step are smoothed with ten imagined votes of the starting accuracy.
+    The bounds keep a vote for a document evidence for it, which fixes the class that is called good.
+    Each step's counts are smoothed with ten imagined votes of the starting accuracies.
     """
     patterns = materialise(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
-    accuracy, prior = [0.8] * len(names), 0.8
+    accuracy, prior = [_START] * len(names), 0.85
+    clamp = lambda x, bounds: min(bounds[1], max(bounds[0], x))
     for _ in range(steps):
         p = posterior([F.col(x) for x in names], accuracy, prior)
-        right = lambda x: F.sum(F.col("n") * F.when(F.col(x) == 1, F.col("p")).when(F.col(x) == -1, 1 - F.col("p")).otherwise(0))
-        row = patterns.withColumn("p", p).agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good"), *[f(x).alias(f"{k}{i}") for i, x in enumerate(names) for k, f in (("r", right), ("v", lambda x: F.sum(F.col("n") * F.abs(F.col(x)))))]
-        ).first()
-        if not row["n"]:
+        told = patterns.select("n", p.alias("p"), F.posexplode(F.array(*names)).alias("i", "v"))
+        # By rule and vote: the documents, and how many of them are expected to be good.
+        sums = {(r["i"], r["v"]): (r["n"], r["good"]) for r in told.groupBy("i", "v").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")).collect()}
+        if not sums:
             break
-        found = [min(0.99, max(0.55, (row[f"r{i}"] + 8) / (row[f"v{i}"] + 10))) for i in range(len(names))]
-        share = min(0.98, max(0.02, (row["good"] + 8) / (row["n"] + 10)))
-        moved = max(abs(share - prior), *(abs(a - b) for a, b in zip(found, accuracy, strict=True)))
+        found = []
+        for i in range(len(names)):
+            (n_for, good_for), (n_against, good_against) = sums.get((i, 1), (0, 0.0)), sums.get((i, -1), (0, 0.0))
+            good, bad = good_for + good_against, n_for + n_against - good_for - good_against
+            on_good = clamp((good_for + 10 * _START[0]) / (good + 10), _GOOD_BOUNDS)
+            on_bad = clamp((n_against - good_against + 10 * _START[1]) / (bad + 10), _BAD_BOUNDS)
+            found.append((on_good, max(on_bad, 1 - on_good + 1e-4)))
+        n, good = (sum(x[k] for (i, _), x in sums.items() if i == 0) for k in (0, 1))
+        share = clamp((good + 8.5) / (n + 10), (0.02, 0.98))
+        moved = max(abs(share - prior), *(abs(a - b) for x, y in zip(found, accuracy, strict=True) for a, b in zip(x, y, strict=True)))
         accuracy, prior = found, share
         if moved < tolerance:
             break
