@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, small_batches
+
 MAX_TRAIN_PAGES = 2_000
 
 #: Kinds of elements.
@@ -363,14 +365,17 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(pages: DataFrame) -> np.ndarray:
-    """Weights from the blocks of at most ``MAX_TRAIN_PAGES`` pages, those with the smallest hash of their id."""
-    sample = pages.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(MAX_TRAIN_PAGES)
+    """Weights from the blocks of the ``MAX_TRAIN_PAGES`` pages with the smallest hash of their id."""
+    ids = hash_sample(pages.select(F.col("page_id").alias("__id")).filter("__id IS NOT NULL"), "__id", MAX_TRAIN_PAGES)
+    # The chosen ids are few by the limit above, so they are sent to the pages and not the pages to them.
+    sample = pages.select("page_id", "html").join(F.broadcast(ids), F.col("page_id") == F.col("__id"), "left_semi")
     got = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInPandas(_examples, "x array<double>, y double").collect())
     return fit(np.array([g[0] for g in got]).reshape(len(got), FEATURES), np.array([g[1] for g in got]))
 
 
 def extract_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     weights = train(pages) if weights is None else weights
     # Ids travel as text: pandas would turn whole numbers with nulls among them into floats.
     slim = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
