@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Phrases that the base counts, with their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -221,6 +223,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score and
     detections (label, kind, and start and end in characters). The score is the chance that at least one
     standing detection is right, if each is with its rule's weight."""
+    small_batches(docs.sparkSession)
     # Ids travel as text: pandas would turn whole numbers with nulls among them into floats.
     slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     found = slim.mapInPandas(
