@@ -62,7 +62,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item, w[i:i + least(len(w), 10) - 1] AS k FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS g(i) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT len(k) AS n FROM win),
+        pos AS (SELECT doc_id, i, n, w[i:i + n - 1] AS k FROM (SELECT * FROM d, sizes) AS x, unnest(generate_series(1, len(w) - n + 1)) AS g(i)),
+        hit AS (SELECT DISTINCT doc_id, i, n, item FROM pos JOIN win USING (k)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit) AS x, unnest(generate_series(i, i + n - 1)) AS g(p) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
     "op3_mixing": """
         WITH d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS bytes FROM d GROUP BY source),
