@@ -225,6 +225,11 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of each row of ``docs``: doc_id, text_key, n_shingles, component_id, kept."""
+    return labelled(docs, percent, id_col, text_col).drop("label")
+
+
+def labelled(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`near_duplicates`, with the component's own ``label``: ids may be shared or null, labels aren't."""
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
@@ -258,19 +263,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     linked = classes.select("digest", "first_id").join(found, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = materialise(linked.groupBy("label").agg(F.min("first_id").alias("component_id")))
-    component = linked.join(least, "label").select("digest", "component_id")
-    rest = sketched.filter("digest IS NULL").withColumn("component_id", F.col("doc_id")).select("doc_id", "text_key", "n_shingles", "component_id")
-    out = full.select("doc_id", "text_key", "digest", "n_shingles").join(component, "digest").select("doc_id", "text_key", "n_shingles", "component_id")
+    component = linked.join(least, "label").select("digest", "component_id", "label")
+    rest = sketched.filter("digest IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("label", F.lit(None).cast("binary")).select("doc_id", "text_key", "n_shingles", "component_id", "label")
+    out = full.select("doc_id", "text_key", "digest", "n_shingles").join(component, "digest").select("doc_id", "text_key", "n_shingles", "component_id", "label")
     return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Documents with one row of each component: the one with the smallest doc_id. All columns are kept.
 
-    Rows with the same id and text are one document; a document without words stays.
+    Rows with the same id and text are one document; a document without words stays. Different texts that
+    share an id, or have none, are different documents.
     """
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = near_duplicates(docs, percent).filter("kept").select(id_key.alias("__id"), F.col("text_key").alias("__key"), F.col("component_id").alias("__c"), "n_shingles")
+    kept = labelled(docs, percent).filter("kept").select(id_key.alias("__id"), F.col("text_key").alias("__key"), F.col("label").alias("__c"), "n_shingles")
     alone = kept.filter("n_shingles = 0").select("__id", "__key").distinct()
     one = kept.filter("n_shingles > 0").groupBy("__c").agg(F.min(F.struct("__id", "__key")).alias("r")).select("r.*")
     named = docs.withColumn("__id", id_key).withColumn("__key", F.xxhash64("text"))
