@@ -12,8 +12,9 @@ round, every partition takes gradient steps over its own share of them from the
 driver averages the partitions' weights by their words. A document's score is the mean over its words;
 the sum is returned as well.
 
-The vocabulary that tasks receive is bounded by ``VOCABULARY``, as a parameter of the model; rarer words
-form one class of their own, in which a word's share falls with its length. No word is skipped.
+Counts of all words stay in a distributed table. Tasks receive the ``VOCABULARY`` most frequent words, which
+are most of a text; rarer words form one class, and their exact counts are joined to the scored documents'
+rare words, so a rare word's share of its class is exact too. No word is skipped and no count is lost.
 
 Defined results: null, empty or wordless texts have no words, sum 0 and a null mean; equal texts get equal
 scores; an empty table gives an empty result; extra columns are ignored.
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, materialise, small_batches
+from .common import alnum_words, hash_sample, materialise, small_batches
 
 SIDE = 2
 CLASSES = 32  # the last two are rare words and the outside of the text
@@ -118,51 +119,50 @@ def windows(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Class and log share of each known word; what is known is a bounded part of the corpus' words."""
+    """Class and log share of each known word; what is known is a bounded part of the corpus' words.
 
-    def __init__(self, words: list[str], counts: np.ndarray, total: int, distinct: int) -> None:
+    The share of a word that isn't known is its count, joined later, over all such words' ``rare`` count.
+    """
+
+    def __init__(self, words: list[str], counts: np.ndarray, total: int) -> None:
         mass = np.cumsum(counts) - counts / 2
         group = np.minimum((mass / max(1, counts.sum()) * (CLASSES - 2)).astype(np.int64), CLASSES - 3) if len(words) else np.zeros(0, np.int64)
         sums = np.bincount(group, counts, minlength=CLASSES).astype(np.float64)
-        rare = max(1, total - int(counts.sum()))
+        rare = self.rare = max(1, total - int(counts.sum()))
         self.unigram = (sums + 1) / (total + CLASSES)
         self.unigram[RARE] = rare / (total + CLASSES)
         self.unigram[EDGE] = 1e-6
         shares = np.log(counts / sums[group]) if len(words) else np.zeros(0)
         self.words = pa.array(words, pa.string())
         self.group = np.concatenate((group, [RARE])).astype(np.int8)
-        self.share = np.concatenate((shares, [0.0])).astype(np.float32)
-        self.kinds = max(1, distinct - len(words))
+        self.share = np.concatenate((shares, [-np.log(rare)]))
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Number of each word; words that aren't known get the number after the last. No Python object per word."""
         found = pc.index_in(words, value_set=self.words.cast(words.type))
         return pc.fill_null(found, len(self.words)).to_numpy(zero_copy_only=False)
 
-    def shares(self, index: np.ndarray, words: pa.Array) -> np.ndarray:
-        out = self.share[index].astype(np.float64)
-        rare = np.flatnonzero(index == len(self.words))
-        # A rare word's share: even over the rare kinds, less for longer words (a geometric law of lengths).
-        out[rare] = -np.log(self.kinds) - 0.05 * pc.utf8_length(words.take(pa.array(rare))).to_numpy(zero_copy_only=False)
-        return out
 
-
-def corpus_vocabulary(docs_words: DataFrame) -> Vocabulary:
-    """Counts of words over all documents; the most frequent, ``VOCABULARY`` at most, become known words.
+def corpus_vocabulary(docs_words: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The known words, ``VOCABULARY`` of the most frequent, and the table of all words' counts.
 
     A histogram of the counts (a few thousand steps, finer for small counts) tells how frequent a word must
-    be, so only known words reach the driver.
+    be, so only known words reach the driver. The last step that has room is filled by the words' hashes.
     """
     counts = materialise(docs_words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    row = counts.agg(F.sum("n").alias("t"), F.count("*").alias("d")).first()
+    total = counts.agg(F.sum("n")).first()[0]
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64)).cast("int")
-    least, known = 1 << 30, 0
+    least, known, split = 1 << 30, 0, None
     for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), reverse=True):
         if known + r["k"] > VOCABULARY:
+            split = r["s"]
             break
         least, known = r["s"], known + r["k"]
-    top = counts.filter(step >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return Vocabulary(top["word"].tolist(), top["n"].to_numpy(np.float64), int(row["t"] or 0), int(row["d"]))
+    chosen = counts.filter(step >= least)
+    if split is not None and known < VOCABULARY:
+        chosen = chosen.unionByName(hash_sample(counts.filter(step == split), "word", VOCABULARY - known).select(*counts.columns))
+    top = chosen.toPandas().sort_values(["n", "word"], ascending=[False, True])
+    return Vocabulary(top["word"].tolist(), top["n"].to_numpy(np.float64), int(total or 0)), counts
 
 
 def _laid(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -211,7 +211,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words = slim.select("doc_id", alnum_words(F.col("text")).alias("w"))
-    vocabulary = corpus_vocabulary(words)
+    vocabulary, counts = corpus_vocabulary(words)
     network = train(slim, vocabulary)
     known, weights = docs.sparkSession.sparkContext.broadcast(vocabulary), network.flat()
     kind = words.schema["doc_id"].dataType.simpleString()
@@ -223,7 +223,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             index = v.numbers(tokens)
             target = v.group[index]
             context = windows(target, ends)
-            found = v.shares(index, tokens)
+            found = v.share[index]
             for i in range(0, len(target), BATCH):
                 part = slice(i, i + BATCH)
                 lp = net.log_probabilities(net.hidden(context[:, part]))
@@ -231,7 +231,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             begins = np.concatenate(([0], ends[:-1]))
             sums = np.concatenate(([0.0], np.cumsum(found)))
             total = sums[ends] - sums[begins] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends - begins if b.num_rows else [], pa.int64()), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
-
-    out = words.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double")
+            rare = index == len(v.words)
+            cuts = np.concatenate(([0], np.cumsum(rare)))[np.concatenate(([0], ends))]
+            unknown = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tokens.filter(pa.array(rare)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends - begins if b.num_rows else [], pa.int64()), pa.array(total), unknown], ["doc_id", "n_words", "log_likelihood", "rare"])
+
+    # Written once: the rows' numbers and the counts joined to them must belong together.
+    scored = materialise(words.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, rare array<string>").withColumn("row", F.monotonically_increasing_id()))
+    # A rare word is at most one of VOCABULARY in the corpus, so no word is hot in this join.
+    joined = scored.select("row", F.explode("rare").alias("word")).join(counts, "word")
+    added = joined.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    out = scored.join(added, "row", "left").select("doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import math
 import random
 
-from tessera.llm import near_dedup
+import pytest
+from tessera.llm import lm_scoring, near_dedup
 
 
 def sentence(seed, n=40):
@@ -16,3 +18,15 @@ def test_deduplication_keeps_different_texts_without_own_ids(docs):
     out = near_dedup.deduplicate(docs(rows)).collect()
     got = sorted((str(r.doc_id), r.text) for r in out)
     assert got == sorted([("None", t) for t in alone] + [("7", t) for t in shared] + [("9", copy), ("3", sentence(21))])
+
+
+def test_rare_words_keep_their_counts(docs, monkeypatch):
+    # More words of one count than have room: some of them are known, the two others are not.
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 8)
+    common = " ".join(f"k{i}" for i in range(30))
+    texts = [common] * 20 + ["seldom"] + ["oftener"] * 8
+    rows = {r.doc_id: r for r in lm_scoring.score(docs(texts)).collect()}
+    assert len(rows) == len(texts)
+    assert rows[21].log_likelihood - rows[20].log_likelihood == pytest.approx(math.log(8))
+    known, counts = lm_scoring.corpus_vocabulary(docs([common] * 20).selectExpr("split(text, ' ') AS w"))
+    assert 0 < len(known.words) <= 8 and counts.count() == 30 and known.rare == 20 * (30 - len(known.words))
