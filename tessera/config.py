@@ -54,7 +54,7 @@ class ReaderConfig:
     sheet: str | int | None = None
     all_sheets: bool = False
     infer_types: bool = True
-    inference_sample_size: int = 1000
+    inference_sample_size: int | None = None  # None: all rows vote
     include_empty_rows: bool = False
     mode: str = "FAILFAST"
     multi_line: bool = False

@@ -44,8 +44,8 @@ def _options(d: Dialect, config: ReaderConfig) -> dict[str, str]:
 def read_csv(spark: SparkSession, path: str, config: ReaderConfig | None = None, schema: list[ColumnSchema] | None = None) -> DataFrame:
     """A table from delimited text, read in parallel splits.
 
-    Cells are read as text and each column gets one type: the given schema's, or the one that the first
-    ``inference_sample_size`` rows vote for. Trimmed empty cells and ``null_values`` are null. Rows of
+    Cells are read as text and each column gets one type: the given schema's, or the one that all rows vote for
+    (the first ``inference_sample_size``, if the configuration names a number). Trimmed empty cells and ``null_values`` are null. Rows of
     another width follow ``mode``: FAILFAST raises, DROPMALFORMED drops them, PERMISSIVE pads or cuts.
     Rows are skipped before the header. ``columns`` and ``column_names`` prune headers and cells alike.
     """
