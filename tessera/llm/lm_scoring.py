@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
 Every word of a document is predicted from the ``SIDE`` words before and after it. The network predicts
-the word's class, and the word's share of its class completes the probability:
+the word's class, then its slot of the class, and the word's share of the slot completes the probability:
 
-    log P(word | both sides) = log P(class | both sides) + log P(word | class)
+    log P(word | both sides) = log P(class | both sides) + log P(slot | class, both sides) + log P(word | slot)
 
 Classes split the corpus' words into groups of about equal total frequency (by count, so a class of
-frequent words has few of them). The counts come from all documents. The network (an embedding of each
-class at each window place, a tanh layer, a softmax over classes) is trained on all documents too: each
-round, every partition takes gradient steps over its own share of them from the current weights, and the
+frequent words has few of them). Each class deals its words to ``SLOTS`` slots in turn, so neighbours in
+frequency differ in their slots and a class of few words has a slot for each; rare words go by a hash. The
+counts come from all documents. The network (an embedding of each class and each slot at each window
+place, a tanh layer, a softmax over classes and one over the slots of each class) is trained on all
+documents too: each round, every partition takes gradient steps over its own share of them from the current weights, and the
 driver averages the partitions' weights by their words. A document's score is the mean over its words;
 the sum is returned as well.
 
@@ -22,6 +24,7 @@ scores; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ SIDE = 2
 CLASSES = 32  # the last two are rare words and the outside of the text
 RARE, EDGE = CLASSES - 2, CLASSES - 1
 HIDDEN = 12
+SLOTS = 32  # of each class
+LEAVES = CLASSES * SLOTS
 VOCABULARY = 50_000
 ROUNDS = 2
 BATCH = 4096  # words at once when scoring
@@ -43,39 +48,52 @@ STEP = 1024  # words of a gradient step
 
 
 class Network:
-    """Weights as float32: one embedding per window place and class, a bias, and the output layer."""
+    """Weights as float32: embeddings per window place of classes and slots, a bias, output layers of classes and of slots."""
+
+    SHAPES = ((2 * SIDE, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (2 * SIDE, LEAVES, HIDDEN), (CLASSES, HIDDEN, SLOTS), (CLASSES, SLOTS))
 
     def __init__(self, parts: list[np.ndarray]) -> None:
-        self.embed, self.bias, self.out, self.out_bias = parts
+        self.embed, self.bias, self.out, self.out_bias, self.leaf, self.fine, self.fine_bias = parts
 
     @classmethod
-    def start(cls, unigram: np.ndarray) -> Network:
+    def start(cls, unigram: np.ndarray, slots: np.ndarray | None = None) -> Network:
+        """From the classes' shares of all words, and the slots' shares of their classes."""
         r = np.random.RandomState(11)
+        slots = np.full((CLASSES, SLOTS), 1 / SLOTS) if slots is None else slots
         return cls([
             r.normal(0, 0.3, (2 * SIDE, CLASSES, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
             r.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), np.log(np.maximum(unigram, 1e-6)).astype(np.float32),
+            r.normal(0, 0.3, (2 * SIDE, LEAVES, HIDDEN)).astype(np.float32), np.zeros((CLASSES, HIDDEN, SLOTS), np.float32),
+            np.log(np.maximum(slots, 1e-6)).astype(np.float32),
         ])
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.bias, self.out, self.out_bias]
+        return [self.embed, self.bias, self.out, self.out_bias, self.leaf, self.fine, self.fine_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
-        shapes, at, parts = [(2 * SIDE, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)], 0, []
-        for s in shapes:
+        at, parts = 0, []
+        for s in cls.SHAPES:
             n = int(np.prod(s))
             parts.append(np.array(flat[at : at + n], np.float32).reshape(s))
             at += n
         return cls(parts)
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
+    def folded(self) -> Network:
+        """The same network with one embedding for each slot, which holds its class's: its context is slots alone."""
+        return Network([self.embed.repeat(SLOTS, axis=1) + self.leaf, *self.parts[1:]])
+
+    def hidden(self, context: np.ndarray, leaves: np.ndarray | None = None) -> np.ndarray:
         z = self.embed[0][context[0]]
         for k in range(1, 2 * SIDE):
             z += self.embed[k][context[k]]
+        if leaves is not None:
+            for k in range(2 * SIDE):
+                z += self.leaf[k][leaves[k]]
         z += self.bias
         return np.tanh(z, out=z)
 
@@ -85,32 +103,66 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One gradient step on the mean log-loss of a batch."""
+    def slot_probabilities(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each class among the targets: the class, its words' numbers, log-probabilities of its slots."""
+        order = np.argsort(target, kind="stable")
+        ends = np.cumsum(np.bincount(target, minlength=CLASSES))
+        for c in np.flatnonzero(np.diff(ends, prepend=0)):
+            at = order[ends[c - 1] if c else 0 : ends[c]]
+            z = h[at] @ self.fine[c]
+            z += self.fine_bias[c]
+            z -= z.max(axis=1, keepdims=True)
+            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+            yield c, at, z
+
+    def log_likelihoods(self, h: np.ndarray, target: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each word's class and slot."""
+        out = self.log_probabilities(h)[np.arange(len(target)), target]
+        for c, at, z in self.slot_probabilities(h, target):
+            out[at] += z[np.arange(len(at)), leaf[at] - c * SLOTS]
+        return out
+
+    def step(self, context: np.ndarray, target: np.ndarray, rate: float, leaves: np.ndarray | None = None, leaf: np.ndarray | None = None) -> None:
+        """One gradient step on the mean log-loss of a batch; of the slots too if they are given."""
         n = len(target)
-        h = self.hidden(context)
+        h = self.hidden(context, leaves)
         g = np.exp(self.log_probabilities(h))
         g[np.arange(n), target] -= 1
         g *= rate / n
-        back = (g @ self.out.T) * (1 - h * h)
+        back = g @ self.out.T
+        if leaf is not None:
+            for c, at, z in self.slot_probabilities(h, target):
+                f = np.exp(z)
+                f[np.arange(len(at)), leaf[at] - c * SLOTS] -= 1
+                f *= rate / n
+                back[at] += f @ self.fine[c].T
+                self.fine[c] -= h[at].T @ f
+                self.fine_bias[c] -= f.sum(axis=0)
+        back *= 1 - h * h
         self.out -= h.T @ g
         self.out_bias -= g.sum(axis=0)
         self.bias -= back.sum(axis=0)
         for k in range(2 * SIDE):
-            # Sum of rows by class, as a product with the classes' indicator matrix.
-            hot = np.zeros((n, CLASSES), np.float32)
-            hot[np.arange(n), context[k]] = 1
-            self.embed[k] -= hot.T @ back
-
-
-def windows(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Context classes (2 * SIDE rows) of each word of documents laid end to end; places outside are EDGE."""
+            if leaves is None:
+                # Sum of rows by class, as a product with the classes' indicator matrix.
+                hot = np.zeros((n, CLASSES), np.float32)
+                hot[np.arange(n), context[k]] = 1
+                self.embed[k] -= hot.T @ back
+                continue
+            place = (leaves[k].astype(np.int64) * HIDDEN)[:, None] + np.arange(HIDDEN)
+            sums = np.bincount(place.ravel(), back.ravel(), minlength=LEAVES * HIDDEN).astype(np.float32).reshape(LEAVES, HIDDEN)
+            self.leaf[k] -= sums
+            self.embed[k] -= sums.reshape(CLASSES, SLOTS, HIDDEN).sum(axis=1)
+
+
+def windows(classes: np.ndarray, ends: np.ndarray, edge: int = EDGE) -> np.ndarray:
+    """Context classes or slots (2 * SIDE rows) of each word of documents laid end to end; places outside are ``edge``."""
     n = len(classes)
     starts = np.concatenate(([0], ends[:-1]))
     lengths = ends - starts
     at = np.arange(n) - np.repeat(starts, lengths)
     left = np.repeat(lengths, lengths) - at
-    out = np.full((2 * SIDE, n), EDGE, np.int8)
+    out = np.full((2 * SIDE, n), edge, classes.dtype)
     for k in range(1, SIDE + 1):
         before, after = at >= k, left > k
         out[SIDE - k, before] = classes[np.flatnonzero(before) - k]
@@ -119,12 +171,14 @@ def windows(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Class and log share of each known word; what is known is a bounded part of the corpus' words.
+    """Class, slot and log share of each known word; what is known is a bounded part of the corpus' words.
 
-    The share of a word that isn't known is its count, joined later, over all such words' ``rare`` count.
+    ``sums`` holds the counts of all words by the hash that gives rare words their slots. The share of a word
+    that isn't known is its count, joined later, over the count of all such words of its slot.
     """
 
-    def __init__(self, words: list[str], counts: np.ndarray, total: int) -> None:
+    def __init__(self, words: list[str], counts: np.ndarray, sums: np.ndarray) -> None:
+        total, by_slot = int(sums.sum()), np.array(sums, np.float64)
         mass = np.cumsum(counts) - counts / 2
         group = np.minimum((mass / max(1, counts.sum()) * (CLASSES - 2)).astype(np.int64), CLASSES - 3) if len(words) else np.zeros(0, np.int64)
         sums = np.bincount(group, counts, minlength=CLASSES).astype(np.float64)
@@ -132,16 +186,40 @@ class Vocabulary:
         self.unigram = (sums + 1) / (total + CLASSES)
         self.unigram[RARE] = rare / (total + CLASSES)
         self.unigram[EDGE] = 1e-6
-        shares = np.log(counts / sums[group]) if len(words) else np.zeros(0)
+        # Words come by falling count, so a class is a run of them.
+        turn = np.arange(len(words)) - np.searchsorted(group, group)
+        leaf = group * SLOTS + turn % SLOTS
+        np.subtract.at(by_slot, slots_of(pa.array(words, pa.string())), counts)
+        mass = np.bincount(leaf, counts, minlength=LEAVES).astype(np.float64)
+        mass[RARE * SLOTS : EDGE * SLOTS] = np.maximum(by_slot, 0)
+        self.slots = mass.reshape(CLASSES, SLOTS) / np.maximum(1, mass.reshape(CLASSES, SLOTS).sum(axis=1, keepdims=True))
         self.words = pa.array(words, pa.string())
-        self.group = np.concatenate((group, [RARE])).astype(np.int8)
-        self.share = np.concatenate((shares, [-np.log(rare)]))
+        self.leaf = np.concatenate((leaf, [RARE * SLOTS])).astype(np.int16)
+        self.share = np.concatenate((np.log(counts / mass[leaf]) if len(words) else np.zeros(0), [0.0]))
+        self.rare_share = -np.log(np.maximum(1, mass[RARE * SLOTS : EDGE * SLOTS]))
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Number of each word; words that aren't known get the number after the last. No Python object per word."""
         found = pc.index_in(words, value_set=self.words.cast(words.type))
         return pc.fill_null(found, len(self.words)).to_numpy(zero_copy_only=False)
 
+    def leaves(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slot of each word (over all classes), log share as far as known here, and which words are rare."""
+        index = self.numbers(words)
+        leaf, share, rare = self.leaf[index], self.share[index], index == len(self.words)
+        at = np.flatnonzero(rare)
+        slot = slots_of(words.take(pa.array(at)))
+        leaf[at] += slot.astype(np.int16)
+        share[at] = self.rare_share[slot]
+        return leaf, share, rare
+
+
+def slots_of(words: pa.Array) -> np.ndarray:
+    """Slots of rare words, by CRC-32; each different word is hashed once."""
+    known = words.cast(pa.binary()).dictionary_encode()
+    hashed = np.array([zlib.crc32(w) % SLOTS for w in known.dictionary.to_pylist()], np.int64)
+    return hashed[known.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+
 
 def corpus_vocabulary(docs_words: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The known words, ``VOCABULARY`` of the most frequent, and the table of all words' counts.
@@ -150,7 +228,9 @@ def corpus_vocabulary(docs_words: DataFrame) -> tuple[Vocabulary, DataFrame]:
     be, so only known words reach the driver. The last step that has room is filled by the words' hashes.
     """
     counts = materialise(docs_words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0]
+    sums = np.zeros(SLOTS)
+    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(SLOTS)).cast("int").alias("s")).agg(F.sum("n").alias("n")).collect():
+        sums[r["s"]] = r["n"]
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64)).cast("int")
     least, known, split = 1 << 30, 0, None
     for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), reverse=True):
@@ -162,7 +242,7 @@ def corpus_vocabulary(docs_words: DataFrame) -> tuple[Vocabulary, DataFrame]:
     if split is not None and known < VOCABULARY:
         chosen = chosen.unionByName(hash_sample(counts.filter(step == split), "word", VOCABULARY - known).select(*counts.columns))
     top = chosen.toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return Vocabulary(top["word"].tolist(), top["n"].to_numpy(np.float64), int(total or 0)), counts
+    return Vocabulary(top["word"].tolist(), top["n"].to_numpy(np.float64), sums), counts
 
 
 def _laid(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -175,10 +255,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
     """Rounds of local steps over all documents and averages of the weights.
 
     Round k of n takes the documents whose text's hash falls in its share, so that a document is learnt from
-    once and all are. The driver receives one set of weights (a few kilobytes) from each partition.
+    once and all are. The driver receives the average of the partitions' weights (about 260 kilobytes a set).
     """
     sc = docs.sparkSession.sparkContext
-    network = Network.start(vocabulary.unigram)
+    network = Network.start(vocabulary.unigram, vocabulary.slots)
     known = sc.broadcast(vocabulary)
     for k in range(rounds):
         start, speed = network.flat(), rate / (1 + k)
@@ -187,12 +267,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
             net, seen, v = Network.of(start), 0, known.value
             for b in batches:
                 words, ends = _laid(b.column("w"))
-                target = v.group[v.numbers(words)]
-                context = windows(target, ends)
+                leaf = v.leaves(words)[0]
+                target = leaf // SLOTS
+                leaves = windows(leaf, ends, EDGE * SLOTS)
+                context = leaves // SLOTS
                 # Neighbouring words go to different steps.
                 n = -(-len(target) // STEP)
                 for j in range(n):
-                    net.step(context[:, j::n], target[j::n], speed)
+                    net.step(context[:, j::n], target[j::n], speed, leaves[:, j::n], leaf[j::n])
                 seen += len(target)
             if seen:
                 yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "weights": pa.array([net.flat()], pa.list_(pa.float32()))})
@@ -217,21 +299,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = words.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, v = Network.of(weights), known.value
+        net, v = Network.of(weights).folded(), known.value
         for b in batches:
             tokens, ends = _laid(b.column("w"))
-            index = v.numbers(tokens)
-            target = v.group[index]
-            context = windows(target, ends)
-            found = v.share[index]
+            leaf, found, rare = v.leaves(tokens)
+            target = leaf // SLOTS
+            context = windows(leaf, ends, EDGE * SLOTS)
             for i in range(0, len(target), BATCH):
                 part = slice(i, i + BATCH)
-                lp = net.log_probabilities(net.hidden(context[:, part]))
-                found[part] += lp[np.arange(len(lp)), target[part]]
+                found[part] += net.log_likelihoods(net.hidden(context[:, part]), target[part], leaf[part])
             begins = np.concatenate(([0], ends[:-1]))
             sums = np.concatenate(([0.0], np.cumsum(found)))
             total = sums[ends] - sums[begins] if b.num_rows else np.zeros(0)
-            rare = index == len(v.words)
             cuts = np.concatenate(([0], np.cumsum(rare)))[np.concatenate(([0], ends))]
             unknown = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tokens.filter(pa.array(rare)).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends - begins if b.num_rows else [], pa.int64()), pa.array(total), unknown], ["doc_id", "n_words", "log_likelihood", "rare"])
