@@ -8,7 +8,9 @@ labelling of least total cost: text that looks doubtful on its own goes with its
 The classifier is a logistic regression, trained here on blocks of a bounded sample of pages whose
 markup says what they are (inside ``article`` or ``main``, or inside ``nav``, ``footer``, ``aside``, ads,
 forms); those giveaways are not among its features. Blocks in elements that can't hold main text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) are bound to the boilerplate terminal.
+headers, footers, sidebars, notices, adverts, forms, comments) by their tag, role or being hidden are bound
+to the boilerplate terminal. A class or id that names furniture is a cost instead: it doesn't reach into
+article or main, nor count for a wrapper that holds most of the text of a page with no content outside it.
 
 Defined results: null and empty pages give an empty text; a page without any block gives an empty text;
 broken markup is read as far as possible (unclosed tags close with their parents, stray ends are
@@ -47,6 +49,10 @@ CHROME_WORDS = re.compile(
     r"newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|pagination|pager|skip|toolbar|masthead|topbar|copyright|legal|disclaimer|tags?|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Classes that tell what a wrapper has or lacks, not what it is.
+MODIFIERS = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S*", re.I)
+#: What a class or id of furniture adds to a block's cost as content; margins go up to 8.
+FURNITURE = 10.0
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
 
@@ -58,20 +64,21 @@ _SPACE = re.compile(r"\s+")
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("chrome", "heading", "link", "main", "path", "tag", "text")
+    __slots__ = ("chrome", "heading", "link", "main", "path", "soft", "tag", "text")
 
-    def __init__(self, text: str, link: int, tag: str, path: tuple[int, ...], chrome: bool, main: bool, heading: bool) -> None:
-        self.text, self.link, self.tag, self.path, self.chrome, self.main, self.heading = text, link, tag, path, chrome, main, heading
+    def __init__(self, text: str, link: int, tag: str, path: tuple[int, ...], chrome: bool, main: bool, heading: bool, soft: tuple[int, ...] = ()) -> None:
+        self.text, self.link, self.tag, self.path, self.chrome, self.main, self.heading, self.soft = text, link, tag, path, chrome, main, heading, soft
 
 
-def _marks(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether attributes mark page furniture, main content, or a hidden element."""
-    chrome = main = hidden = False
+def _marks(attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes mark page furniture by role, main content, a hidden element, or furniture by class or id."""
+    chrome = main = hidden = soft = False
     for m in _ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
+            value = MODIFIERS.sub("", value)
             if CHROME_WORDS.search(value):
-                chrome = True
+                soft = True
             elif CONTENT_WORDS.search(value):
                 main = True
         elif name == "role":
@@ -79,14 +86,14 @@ def _marks(attrs: str) -> tuple[bool, bool, bool]:
             main |= value.lower() in ("main", "article")
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             hidden = True
-    return chrome, main, hidden
+    return chrome, main, hidden, soft
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order. References are decoded and white space is turned into single spaces."""
     out: list[Block] = []
-    # Open elements: tag, number, chrome, main.
-    stack: list[tuple[str, int, bool, bool]] = []
+    # Open elements: tag, number, chrome, main, numbers of the elements around that a class calls furniture.
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     link = depth_a = number = 0
 
@@ -99,7 +106,7 @@ def blocks(page: str) -> list[Block]:
                 # Paragraphs and inline elements that markup forgot to close don't set a block apart.
                 path = tuple(x[1] for x in stack if x[0] in BLOCK and x[0] != "p")
                 tag = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")
-                out.append(Block(text, link, tag, path, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()))
+                out.append(Block(text, link, tag, path, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), stack[-1][4] if stack else ()))
         link = 0
 
     def words(text: str) -> None:
@@ -182,22 +189,40 @@ def blocks(page: str) -> list[Block]:
                         if stack[k][0] in ("ul", "ol", "dl", "table", "menu", "select"):
                             break
                 depth_a = sum(x[0] == "a" for x in stack)
-        chrome, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        chrome, main, soft = stack[-1][2:] if stack else (False, False, ())
         if tag in CHROME or (tag == "header" and not main):
             chrome = True
         elif tag in ("article", "main"):
-            main = True
+            main, soft = True, ()
+        number += 1
         if attrs and len(attrs) > 3:
-            c, mark, hidden = _marks(attrs)
+            c, mark, hidden, named = _marks(attrs)
             if tag not in ("html", "body") and (hidden or c and tag not in ("article", "main")):
                 chrome = True
-            main |= mark and not c
-        number += 1
-        stack.append((tag, number, chrome, main))
+            if named and tag not in ("html", "body", "article", "main"):
+                soft = (*soft, number)
+            main |= mark and not c and not named
+        stack.append((tag, number, chrome, main, soft))
         if tag == "a":
             depth_a += 1
     flush()
-    return out
+    return _without_wrappers(out)
+
+
+def _without_wrappers(page: list[Block]) -> list[Block]:
+    """Drop the marks of elements that hold most of the text, unless the page has marked content outside them."""
+    total = sum(len(b.text) for b in page if not b.chrome)
+    held: dict[int, int] = {}
+    for b in page:
+        if not b.chrome:
+            for k in b.soft:
+                held[k] = held.get(k, 0) + len(b.text)
+    most = {k for k, n in held.items() if 2 * n > total}
+    most -= {k for k in most if any(b.main and not b.chrome and k not in b.soft for b in page)}
+    for b in page:
+        if most and b.soft:
+            b.soft = tuple(k for k in b.soft if k not in most)
+    return page
 
 
 FEATURES = 9
@@ -317,12 +342,15 @@ def label(page: list[Block], weights: np.ndarray, smooth: float = 1.0, bound: fl
     if not page:
         return []
     margin = np.clip(features(page) @ weights, -8, 8)
-    has_main = any(b.main and not b.chrome for b in page)
+    has_main = any(b.main and not b.chrome and not b.soft for b in page)
     source, sink = [], []
     for b, m in zip(page, margin.tolist(), strict=True):
         if b.chrome:
             source.append(0.0)
             sink.append(bound)
+        elif b.soft:
+            source.append(max(0.0, m))
+            sink.append(max(0.0, -m) + FURNITURE)
         elif has_main:
             # The page says where its article is: that outweighs how a block looks.
             source.append(20.0 if b.main else max(0.0, m / 2))
@@ -359,7 +387,7 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = blocks(page or "")
             if found:
                 x = features(found)
-                rows += [(list(map(float, x[i])), float(b.main and not b.chrome)) for i, b in enumerate(found) if b.main or b.chrome]
+                rows += [(list(map(float, x[i])), float(b.main and not b.chrome and not b.soft)) for i, b in enumerate(found) if b.main or b.chrome or b.soft]
         if rows:
             yield pd.DataFrame({"x": [r[0] for r in rows], "y": [r[1] for r in rows]})
 
