@@ -82,7 +82,7 @@ FORMS = (
     ("name", r"\b(?:{name})\b", 0.7),
 )
 
-#: Sentences of license texts themselves: label, pattern, weight, keyword.
+#: Sentences of license texts themselves: label, pattern, weight, keyword (notices: keywords).
 TEXTS = (
     ("mit", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy", 1.0, "permission is hereby granted"),
     ("bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification", 1.0, "redistribution and use"),
@@ -91,8 +91,8 @@ TEXTS = (
     ("lgpl", r"this\s+library\s+is\s+free\s+software[:;]\s+you\s+can\s+redistribute\s+it", 1.0, "is free software"),
     ("unlicense", r"this\s+is\s+free\s+and\s+unencumbered\s+software", 1.0, "unencumbered"),
     ("zlib", r"this\s+software\s+is\s+provided\s+'as-is',\s+without\s+any\s+express\s+or\s+implied\s+warranty", 0.8, "as-is"),
-    ("copyright", r"(?:copyright|\(c\)|©)\s*(?:\(c\)|©)?\s*(?:19|20)\d\d(?:\s*[-–,]\s*(?:19|20)\d\d)*", 0.3, "copyright"),
-    ("copyright", r"(?:\(c\)|©)\s*(?:19|20)\d\d", 0.3, "(c)"),
+    ("copyright", r"(?:copyright|\(c\)|©)\s*(?:\(c\)|©)?\s*(?:19|20)\d\d(?:\s*[-–,]\s*(?:19|20)\d\d)*", 0.3, "copyright (c) ©"),
+    ("copyright", r"(?:\(c\)|©)\s*(?:19|20)\d\d", 0.3, "(c) ©"),
 )
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -123,7 +123,7 @@ def build_rules() -> tuple[list[Rule], dict[str, list[int]]]:
         for label, name, spdx, url, words in LICENSES:
             add(label, kind, form.format(name=name, id=spdx, url=url), weight, words)
     for label, pattern, weight, word in TEXTS[-2:]:
-        add(label, "notice", pattern, weight, (word,))
+        add(label, "notice", pattern, weight, tuple(word.split()))
     # A keyword of several words may be broken by other white space; its first word is what is looked for.
     single: dict[str, list[int]] = {}
     for w, at in by_word.items():
