@@ -360,26 +360,119 @@ def test_extraction_of_odd_tables(spark):
 
 
 def test_windows_at_the_edges():
-    c = lm_scoring.windows(np.array([1, 2, 3, 4, 5], np.int8), np.array([3, 5]))
-    e = lm_scoring.EDGE
-    assert c.T.tolist() == [[e, e, 2, 3], [e, 1, 3, e], [1, 2, e, e], [e, e, 5, e], [e, 4, e, e]]
+    e = 99
+    c = lm_scoring.windows(np.array([1, 2, 3, 4, 5, 6], np.int16), np.array([0, 3, 5, 5, 6]), e)
+    assert c.T.tolist() == [[e, e, 2, 3], [e, 1, 3, e], [1, 2, e, e], [e, e, 5, e], [e, 4, e, e], [e, e, e, e]]
+    assert lm_scoring.windows(np.zeros(0, np.int16), np.zeros(2, np.int64)).shape == (4, 0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB9 .-\u00e9\u65e5", max_size=12)), max_size=6), st.integers(0, 2))
+def test_hashed_words_are_the_words(texts, skip):
+    import pyarrow as pa
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    want = [word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts[skip:]]
+    hashes, ends = lm_scoring.hashed_words(pa.array(texts, pa.string())[skip:])
+    assert np.diff(ends, prepend=0).tolist() == [len(w) for w in want]
+    flat = [w for x in want for w in x]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["Alpha beta", "gamma " * 50 + "alpha", "beta"])
+    whole = lm_scoring.hashed_words(texts)
+    monkeypatch.setattr(lm_scoring, "_STRETCH", 16)
+    cut = lm_scoring.hashed_words(texts)
+    assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist() == [2, 53, 54]
+    assert whole[0][0] == whole[0][-2] and whole[0][1] == whole[0][-1]
+
+
+def plain_score(texts):
+    """Scores by loops over strings: counts, softmax over all classes and slots, share; with the operator's own weights."""
+    import pyarrow as pa
+
+    def run(known, network, counts, text):
+        words, _ = lm_scoring.hashed_words(pa.array([text]))
+        leaf = known.leaves(words)[0].astype(int).tolist()
+        mass = collections.Counter()
+        for w, n in counts.items():
+            mass[int(known.leaves(np.array([w], np.uint64))[0][0])] += n
+        total = 0.0
+        for i, w in enumerate(words.tolist()):
+            around = [leaf[j] if 0 <= j < len(leaf) else lm_scoring.EDGE * lm_scoring.SLOTS for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(sum(network.leaf[k][x].astype(float) for k, x in enumerate(around)) + network.bias)
+            by_class = np.exp(h @ network.out + network.out_bias)
+            c, s = divmod(leaf[i], lm_scoring.SLOTS)
+            by_slot = np.exp(h @ network.fine[c] + network.fine_bias[c])
+            total += np.log(by_class[c] / by_class.sum()) + np.log(by_slot[s] / by_slot.sum()) + np.log(counts[w] / mass[leaf[i]])
+        return total
+
+    return run
+
+
+def test_scores_by_loops(spark, docs, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "KNOWN", 20)
+    texts = [prose(i, 30) for i in range(12)]
+    df = docs(texts)
+    known, counted = lm_scoring.corpus_vocabulary(df)
+    network = lm_scoring.train(df, known)
+    words = collections.Counter(w for t in texts for w in lm_scoring.hashed_words(pa.array([t]))[0].tolist())
+    assert {r.word % 2**64: r.n for r in counted.collect()} == words and len(known.keys) == 20
+    got = {r.doc_id: r for r in lm_scoring.score(df).collect()}
+    brute = plain_score(texts)
+    for i in (0, 5, 11):
+        assert got[i].log_likelihood == pytest.approx(brute(known, network, words, texts[i]), rel=1e-4)
+        own = collections.Counter(lm_scoring.hashed_words(pa.array([texts[i]]))[0].tolist())
+        rare = [w for w in own.elements() if w not in known.keys]
+        assert (got[i].n_rare, got[i].n_rare_elsewhere) == (len(rare), sum(words[w] > own[w] for w in rare))
+
+
+def test_probabilities_sum_to_one(docs, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "KNOWN", 20)
+    df = docs([prose(i, 30) for i in range(12)])
+    known, counts = lm_scoring.corpus_vocabulary(df)
+    rows = counts.toPandas()
+    leaf, share, rare = known.leaves(rows["word"].to_numpy(np.int64).view(np.uint64))
+    share = share + np.where(rare, np.log(rows["n"].to_numpy()), 0)
+    net = lm_scoring.train(df, known)
+    context = np.repeat(leaf[:4, None], len(leaf), axis=1)
+    assert np.exp(net.log_likelihoods(context, leaf) + share).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_gradient_matches_differences():
-    rng = np.random.RandomState(5)
-    net = lm_scoring.Network.start(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
-    context, target = rng.randint(0, lm_scoring.CLASSES, (4, 64)).astype(np.int8), rng.randint(0, lm_scoring.CLASSES, 64)
-    loss = lambda f: -lm_scoring.Network.of(f).log_probabilities(lm_scoring.Network.of(f).hidden(context))[np.arange(64), target].mean()
+    rng, c = np.random.RandomState(6), lm_scoring.CLASSES
+    net = lm_scoring.Network.start(np.full(c, 1 / c))
+    net.fine += rng.normal(0, 0.3, net.fine.shape).astype(np.float32)
+    context, leaf = rng.randint(0, lm_scoring.LEAVES, (4, 64)).astype(np.int16), rng.randint(0, lm_scoring.LEAVES, 64).astype(np.int16)
+    loss = lambda flat: -lm_scoring.Network.of(flat).log_likelihoods(context, leaf).mean()
     before = net.flat().copy()
-    net.step(context, target, 1.0)
+    net.step(context, leaf, 1.0)
     gradient = before - net.flat()
-    for i in rng.randint(0, len(before), 25):
+    for i in [*np.argsort(-np.abs(gradient))[:200:10], *rng.randint(0, len(before), 20)]:
         up, down = before.copy(), before.copy()
         up[i] += 1e-2
         down[i] -= 1e-2
         assert abs((loss(up) - loss(down)) / 2e-2 - gradient[i]) < 2e-3
 
 
+def test_weights_are_averaged_by_words(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEP", 1 << 30)
+    df = docs([prose(i, 30) for i in range(12)])
+    known, _ = lm_scoring.corpus_vocabulary(df)
+    one = lm_scoring.train(df.coalesce(1), known, rounds=1, rate=1e-3)
+    many = lm_scoring.train(df.repartition(70), known, rounds=1, rate=1e-3)
+    # A partition that has all documents steps by the mean of the gradients that 70 partitions take.
+    assert np.abs(one.out_bias - many.out_bias).max() < 1e-6 and np.abs(one.out - many.out).max() < 1e-6
+    assert (one.flat() != lm_scoring.Network.start(known.unigram, known.slots).flat()).any()
+
+
 def test_network_learns_both_sides(spark, docs):
     import random
 
@@ -398,7 +491,7 @@ def test_scores_of_odd_texts(docs):
     assert len(rows) == len(ODD) + 2
     assert rows[0].n_words == 0 and rows[0].log_likelihood == 0 and rows[0].mean_log_likelihood is None
     assert rows[len(ODD)].log_likelihood == pytest.approx(rows[len(ODD) + 1].log_likelihood)
-    assert all(r.log_likelihood < 0 for r in rows.values() if r.n_words)
+    assert all(r.log_likelihood <= 0 for r in rows.values() if r.n_words)
     assert lm_scoring.score(docs([])).count() == 0
 
 
