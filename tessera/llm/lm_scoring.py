@@ -45,15 +45,15 @@ from .common import hash_sample, materialise, small_batches
 SIDE = 2
 CLASSES = 64  # the last two are rare words and the outside of the text
 RARE, EDGE = CLASSES - 2, CLASSES - 1
-HIDDEN = 24
+HIDDEN = 16
 SLOTS = 64  # of each class
 LEAVES = CLASSES * SLOTS
 #: Words that tasks hold in memory, 14 bytes each; what lies beyond is joined, with the same result.
 KNOWN = 1 << 17
 ROUNDS = 2
-BATCH = 8192  # words at once when scoring
-STEP = 4096  # words of a gradient step
-RATE, EMBED_RATE = 2.0, 1000.0
+BATCH = 16384  # words at once when scoring
+STEP = 8192  # words of a gradient step
+RATE, EMBED_RATE = 3.0, 1500.0
 PIECE = 4096  # weights in a row of the averaging
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -164,60 +164,63 @@ class Network:
         z += self.bias
         return np.tanh(z, out=z)
 
-    def log_probabilities(self, h: np.ndarray) -> np.ndarray:
-        """Of all classes."""
-        z = h @ self.out
-        z += self.out_bias
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
-
-    def slot_probabilities(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each class among the targets: the class, its words' numbers, log-probabilities of its slots."""
-        order = np.argsort(target, kind="stable")
-        ends = np.cumsum(np.bincount(target, minlength=CLASSES))
-        for c in np.flatnonzero(np.diff(ends, prepend=0)):
-            at = order[ends[c - 1] if c else 0 : ends[c]]
-            z = h[at] @ self.fine[c]
-            z += self.fine_bias[c]
-            z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            yield c, at, z
-
     def log_likelihoods(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of each word's class and slot, given the slots around it."""
         h, target = self.hidden(context), leaf // SLOTS
-        out = self.log_probabilities(h)[np.arange(len(target)), target]
-        for c, at, z in self.slot_probabilities(h, target):
-            out[at] += z[np.arange(len(at)), leaf[at] - c * SLOTS]
+        z, sums = _exponentials(h @ self.out, self.out_bias)
+        out = np.log(z[np.arange(len(target)), target]) - np.log(sums)
+        for c, at in _by_value(target):
+            z, sums = _exponentials(h[at] @ self.fine[c], self.fine_bias[c])
+            out[at] += np.log(z[np.arange(len(at)), leaf[at] - c * SLOTS]) - np.log(sums)
         return out
 
     def step(self, context: np.ndarray, leaf: np.ndarray, rate: float, embed_rate: float | None = None) -> None:
         """One gradient step on the mean log-loss of a batch. With ``embed_rate``, embeddings take steps of that rate over the root of their slot's count."""
         n, target = len(leaf), leaf // SLOTS
         h = self.hidden(context)
-        g = np.exp(self.log_probabilities(h))
-        g[np.arange(n), target] -= 1
-        g *= rate / n
+        g, sums = _exponentials(h @ self.out, self.out_bias)
+        g *= (rate / n / sums)[:, None]
+        g[np.arange(n), target] -= rate / n
         back = g @ self.out.T
-        for c, at, z in self.slot_probabilities(h, target):
-            f = np.exp(z)
-            f[np.arange(len(at)), leaf[at] - c * SLOTS] -= 1
-            f *= rate / n
+        for c, at in _by_value(target):
+            near = h[at]
+            f, sums = _exponentials(near @ self.fine[c], self.fine_bias[c])
+            f *= (rate / n / sums)[:, None]
+            f[np.arange(len(at)), leaf[at] - c * SLOTS] -= rate / n
             back[at] += f @ self.fine[c].T
-            self.fine[c] -= h[at].T @ f
+            self.fine[c] -= near.T @ f
             self.fine_bias[c] -= f.sum(axis=0)
         back *= 1 - h * h
         self.out -= h.T @ g
         self.out_bias -= g.sum(axis=0)
         self.bias -= back.sum(axis=0)
-        back *= 1.0 if embed_rate is None else embed_rate / rate
+        if embed_rate is not None:
+            back *= embed_rate / rate
         for k in range(2 * SIDE):
-            place = (context[k].astype(np.int64) * HIDDEN)[:, None] + np.arange(HIDDEN)
-            moved = np.bincount(place.ravel(), back.ravel(), minlength=LEAVES * HIDDEN).reshape(LEAVES, HIDDEN)
+            # Rows of one slot are laid together and summed.
+            order = np.argsort(context[k], kind="stable")
+            slot = context[k][order]
+            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+            moved = np.add.reduceat(back[order], first, axis=0)
             if embed_rate is not None:
-                moved /= np.sqrt(np.maximum(1, np.bincount(context[k], minlength=LEAVES)))[:, None]
-            self.leaf[k] -= moved.astype(np.float32)
+                moved /= np.sqrt(np.diff(first, append=n)).astype(np.float32)[:, None]
+            self.leaf[k][slot[first]] -= moved
+
+
+def _exponentials(z: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z + bias), within what float32 holds, and the rows' sums."""
+    z += bias
+    np.clip(z, -80, 80, out=z)
+    np.exp(z, out=z)
+    return z, z.sum(axis=1)
+
+
+def _by_value(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class among the targets: the class and its words' numbers."""
+    order = np.argsort(target, kind="stable")
+    ends = np.cumsum(np.bincount(target, minlength=CLASSES))
+    for c in np.flatnonzero(np.diff(ends, prepend=0)):
+        yield c, order[ends[c - 1] if c else 0 : ends[c]]
 
 
 def windows(leaf: np.ndarray, ends: np.ndarray, edge: int = EDGE * SLOTS) -> np.ndarray:
