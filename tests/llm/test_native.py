@@ -73,8 +73,36 @@ def test_contamination_property(spark, docs, texts, items):
 
 
 def test_contamination_large_benchmark_takes_the_shuffled_join(spark, docs, monkeypatch):
+    passage = prose(99, 30)
+    texts = [*ODD, prose(1), passage, passage + " " + prose(3) + " " + passage, prose(2) + " two words"]
+    items = [(1, passage), (2, passage), (3, "two words"), (4, prose(1)), (None, "x x x x x x")]
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    check_hits(spark, docs, texts, items, extra=True)
+    assert decontaminate.clean_documents(docs(texts), bench(spark, items)).count() == sum(not h for _, h, _ in brute_hits(texts, items))
+    check_hits(spark, docs, [], items)
+
+
+def test_no_exchange_holds_the_words(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    check_hits(spark, docs, [prose(1), prose(2)], [(1, prose(1)), (2, "river stone")])
+    monkeypatch.setattr(decontaminate, "materialise", lambda df: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = decontaminate.contamination(docs([prose(1)]), bench(spark, [(1, prose(1))]))
+        plan = got._jdf.queryExecution().optimizedPlan()
+        physical = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in physical or "ShuffledHashJoin" in physical
+    shipped = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            shipped.append({a.name() for a in (node.output().apply(i) for i in range(node.output().size()))})
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(spark._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(spark._jsparkSession, plan))
+    assert shipped and not any("w" in names for names in shipped)
 
 
 def test_contamination_empty_tables(spark, docs):
