@@ -243,18 +243,70 @@ def test_shards_of_odd_rows(docs):
         if i != 1:
             b = (t or "").encode()
             assert (first[i].size, first[i].text_crc32) == (len(b) + 1, zlib.crc32(b))
-    whole = sharding.document_shards(docs(["a", "b"], extra=True), 2, with_columns=True)
-    assert sorted(whole.columns) == sorted([*docs(["a"], extra=True).columns, "curve", "slot"]) and whole.count() == 2
+    named = docs(["a", "b"], extra=True)
+    whole = sharding.document_shards(named, 2, with_columns=True)
+    assert whole.columns == [*named.columns, "curve", "shard_", "slot"] and {r["shard"] for r in whole.collect()} == {"shard"}
 
 
-def test_shards_prune(docs):
-    df = docs([(i, prose(i, 5 + (i * 37) % 300)) for i in range(600)])
-    rows = sharding.document_shards(df, 16).collect()
+def files_read(rows, column, value):
+    """Shards that a reader which filters by min and max of the column must open, and those that hold the value."""
     spans = collections.defaultdict(list)
     for r in rows:
-        spans[r.shard].append(r.size)
-    wide = max(r.size for r in rows) - min(r.size for r in rows)
-    assert sum(max(v) - min(v) for v in spans.values()) / 16 < 0.8 * wide
+        spans[r["shard"]].append(r[column])
+    return sum(min(v) <= value <= max(v) for v in spans.values()), sum(value in v for v in spans.values())
+
+
+@pytest.mark.parametrize("column,most", [("lang", 9), ("source", 8), ("n_chars", 14)])
+def test_shards_prune_by_each_dimension(spark, docs, column, most):
+    # Sources differ after a long common beginning, languages are four, sizes many; all are independent.
+    df = docs([(i, f"{i:04} " + "x" * ((i * 37) % 997)) for i in range(4000)])
+    df = df.withColumn("lang", F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.xxhash64("doc_id") % 4 + 4).cast("int") % 4 + 1)).withColumn("source", F.format_string("https://common.example/%02d", F.pmod(F.hash("doc_id"), F.lit(20))))
+    rows = sharding.document_shards(df, 16, with_columns=True).select("lang", "source", "n_chars", "shard").collect()
+    values = sorted({r[column] for r in rows})
+    read = [files_read(rows, column, values[int(len(values) * q)])[0] for q in (0.1, 0.3, 0.5, 0.7, 0.9)]
+    assert sum(read) / len(read) <= most, read
+
+
+def test_copies_of_a_text_lie_together(spark, docs):
+    df = docs([(i, prose(i % 40, 30)) for i in range(400)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 4)).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 7))
+    rows = sharding.document_shards(df, 4).collect()
+    at = collections.defaultdict(list)
+    for r in rows:
+        at[r.text_crc32].append((r.shard, r.slot))
+    counts = collections.Counter(r.shard for r in rows)
+    place = lambda s, k: sum(counts[i] for i in range(s)) + k
+    assert len(at) == 40 and all(max(place(*x) for x in v) - min(place(*x) for x in v) == len(v) - 1 for v in at.values())
+
+
+def test_runs_of_strings_are_even(spark):
+    values = [f"prefix-of-many-letters-{i * i % 1009:04}" for i in range(5000)] + ["one"] * 3000 + [None] * 10
+    bounds = sharding.string_bounds(spark.createDataFrame([(v,) for v in values], "v string"), 16)
+    known, cuts = sorted(v for v in values if v), [*bounds, None]
+    runs = [sum(1 for v in known if (low is None or v > low) and (high is None or v <= high)) for low, high in zip([None, *bounds], cuts, strict=True)]
+    assert bounds == sorted(set(bounds)) and len(bounds) < 16 and sum(runs) == 8000 and max(r for r in runs if r < 3000) < 2 * 8000 / 16
+
+
+def test_starts_of_partitions(spark):
+    counts = spark.createDataFrame([(3, 5), (0, 2), (7, 1)], "p int, n long")
+    assert sorted(map(tuple, sharding.running(counts, "p", "n").collect())) == [(0, 0, 8), (3, 2, 8), (7, 7, 8)]
+
+
+def brute_shards(rows, n):
+    """Shards and slots by sorting in memory: rows of (curve, crc, hash, id)."""
+    order = sorted(range(len(rows)), key=lambda i: rows[i])
+    return {i: (k * n // len(rows), k - -(-(k * n // len(rows) * len(rows)) // n)) for k, i in enumerate(order)}
+
+
+def test_shards_by_sorting(spark, sf):
+    got = queries.op5_sharding(spark, sf).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").withColumn("h", F.xxhash64("text")).collect()}
+    assert len(got) == len(docs)
+    rows = []
+    for r in got:
+        text = docs[r.doc_id].text.encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(text) + 1, zlib.crc32(text), "rows", None)
+        rows.append((r.curve, r.text_crc32, docs[r.doc_id].h, r.doc_id))
+    assert {i: (r.shard, r.slot) for i, r in enumerate(got)} == brute_shards(rows, 16)
 
 
 # Quality rules
