@@ -32,7 +32,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = sharding.document_shards(docs, 16, with_columns=True)
-    return cut.drop("curve")
+    # The curve's index comes right after the documents' own columns.
+    return cut.drop(cut.columns[len(docs.columns)])
 
 
 STAGES = [
