@@ -1,23 +1,30 @@
 """Weak supervision over quality rules, as DataFrame code.
 
-Each rule looks at one statistic of a document and votes good (1), bad (-1) or abstains (0). Nobody
-knows the true quality; expectation-maximisation over the votes of all documents estimates how often
-each rule is right and how common good documents are, and the posterior probability that a document
-is good decides, instead of demanding that all rules pass. A rule has one accuracy on good documents and
-another on bad ones.
+Each rule looks at one trait of a document and votes good (1), bad (-1) or abstains (0). Nobody knows the
+true quality; expectation-maximisation over the votes of all documents estimates how often each rule is
+right and how common good documents are, and the posterior probability that a document is good decides,
+instead of demanding that all rules pass.
+
+Rules that look at kindred traits (many symbols, many words without letters) err together, so they aren't
+taken for independent witnesses: a document is good or of one of a few kinds of junk (``KINDS``), and rules
+err independently only given the kind. Each rule has a rate of votes against for good documents and one for
+each kind. Where no other rule can tell, the starting belief stands: a good document breaks one rule in a
+hundred, a document of a kind breaks half the rules of that kind. Limits are those of published rule sets
+for web text (symbols to words, words without letters, capitals, repeated lines), loose enough that prose
+keeps clear of them; no labels enter.
 
 All statistics are computed inside the row (arrays and higher-order functions), so the text is never
-exploded or shuffled. Votes are counted by pattern, at most ``3 ** len(RULES)`` patterns whatever the
-number of documents, and every EM step is one small aggregate over that table.
+exploded or shuffled. Votes are counted by pattern in one grouped sum. There are at most ``3 ** 10 = 59,049``
+patterns whatever the number of documents, and the steps of the estimation run over these counts on the driver.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; equal texts
-get equal results; an empty table gives an empty result with the prior model; extra columns are ignored.
+get equal results; a text of any length is one row; an empty table gives an empty result with the starting
+model; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,10 +94,6 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         count("[.,;:!?]").alias("n_marks"),
         count("[0-9]").alias("n_digits"),
         single("!").alias("n_shouts"),
-        single("#").alias("n_hashes"),
-        single("*").alias("n_stars"),
-        single("|").alias("n_pipes"),
-        (single("%") + single("&") + single("$")).alias("n_markup"),
         F.regexp_count("__s", F.lit(r" [^\p{L} ]+(?= )")).cast("long").alias("n_bare"),
     )
 
@@ -105,72 +108,74 @@ def rules() -> dict[str, Column]:
     words, chars, lines = F.greatest(c("n_words"), F.lit(1)), F.greatest(c("word_chars"), F.lit(1)), F.greatest(c("n_lines"), F.lit(1))
     mean = c("word_chars") / words
     return {
-        "length": _vote(c("n_words") >= 40, c("n_words") < 15),
-        "word_length": _vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
         "symbols": _vote(c("n_symbols") < 0.02 * words, c("n_symbols") > 0.2 * words),
+        "bare": _vote(c("n_bare") < 0.05 * words, c("n_bare") > 0.2 * words),
         "dup_lines": _vote(c("n_dup_lines") == 0, c("n_dup_lines") > 0.3 * lines),
         "repeats": _vote(c("n_repeat_words") <= 0.05 * words, c("n_repeat_words") > 0.15 * words),
         "variety": _vote(c("n_distinct") >= 0.4 * words, c("n_distinct") < 0.15 * words),
         "capitals": _vote(c("n_capitals") < 0.15 * chars, c("n_capitals") > 0.4 * chars),
         "marks": _vote((c("n_marks") >= 0.02 * words) & (c("n_marks") <= 0.5 * words), c("n_marks") > 0.9 * words),
-        "digits": _vote(c("n_digits") < 0.1 * chars, c("n_digits") > 0.3 * chars),
-        "hashes": _vote(c("n_hashes") < 0.02 * words, c("n_hashes") > 0.1 * words),
-        "stars": _vote(c("n_stars") < 0.02 * words, c("n_stars") > 0.1 * words),
-        "pipes": _vote(c("n_pipes") < 0.02 * words, c("n_pipes") > 0.1 * words),
-        "markup": _vote(c("n_markup") < 0.02 * words, c("n_markup") > 0.1 * words),
-        "bare": _vote(c("n_bare") < 0.05 * words, c("n_bare") > 0.2 * words),
         "shouting": _vote(c("n_shouts") < 0.02 * words, c("n_shouts") > 0.2 * words),
+        "word_length": _vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
+        "digits": _vote(c("n_digits") < 0.1 * chars, c("n_digits") > 0.3 * chars),
     }
 
 
-#: Starting points and bounds of the accuracies: of votes on good documents, and on bad ones. A bad document
-#: breaks some rules and passes many, so a vote against says far more than a vote for.
-_START, _GOOD_BOUNDS, _BAD_BOUNDS = (0.97, 0.35), (0.7, 0.999), (0.05, 0.99)
+#: Kinds of junk, and the rules that are there to catch each.
+KINDS = {"symbols": ("symbols", "bare"), "repetition": ("dup_lines", "repeats", "variety"), "shouting": ("capitals", "marks", "shouting"), "no_words": ("word_length", "digits")}
+#: Starting rates of votes against: of good documents, by the rules of a document's own kind, and by other rules.
+GOOD_RATE, OWN_RATE, OTHER_RATE = 0.01, 0.5, 0.05
+GOOD_SHARE = 0.9
 
 
-def posterior(votes: list[Column], accuracy: list[tuple[float, float]], prior: float) -> Column:
-    """P(good | votes) when rules err independently, each with an accuracy on good and one on bad documents."""
-    weights = [math.log(prior / (1 - prior))]
-    for on_good, on_bad in accuracy:
-        weights += [math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)]
-    # An array literal is handed to the compiled code as an object, so steps with other weights share the code.
-    w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    logit = F.get(w, F.lit(0))
-    for i, v in enumerate(votes):
-        logit = logit + F.when(v == 1, F.get(w, F.lit(2 * i + 1))).when(v == -1, F.get(w, F.lit(2 * i + 2))).otherwise(0.0)
-    return 1 / (1 + F.exp(-logit))
+def start(names: list[str], kinds: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of votes against by class (good, then the kinds) and rule, and the classes' shares."""
+    rates = [[GOOD_RATE] * len(names)] + [[OWN_RATE if n in own else OTHER_RATE for n in names] for own in kinds.values()]
+    return np.array(rates), np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / len(kinds)] * len(kinds))
 
 
-def fit(votes: DataFrame, names: list[str], steps: int = 30, tolerance: float = 1e-3) -> tuple[list[tuple[float, float]], float]:
-    """Accuracies of the rules and the share of good documents, by expectation-maximisation.
+def fit(votes: DataFrame, names: list[str], kinds: dict[str, tuple[str, ...]], steps: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Rates and shares by expectation-maximisation.
 
-    The bounds keep a vote for a document evidence for it, which fixes the class that is called good.
-    Each step's counts are smoothed with ten imagined votes of the starting accuracies.
+    Each step's counts are smoothed with ten imagined votes of the starting rates and one imagined document
+    of each class. The columns ``names`` hold votes; their patterns, 3 to the number of rules at most, are
+    counted in the cluster and read by the driver.
     """
-    patterns = materialise(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
-    accuracy, prior = [_START] * len(names), 0.85
-    clamp = lambda x, bounds: min(bounds[1], max(bounds[0], x))
+    rows = votes.groupBy(*names).agg(F.count("*").alias("n")).collect()
+    rates, shares = start(names, kinds)
+    if not rows:
+        return rates, shares
+    found = np.array(sorted(tuple(r) for r in rows), np.float64)
+    n, against, both = found[:, -1], found[:, :-1] == -1, found[:, :-1] != 0
+    first = rates
     for _ in range(steps):
-        p = posterior([F.col(x) for x in names], accuracy, prior)
-        told = patterns.select("n", p.alias("p"), F.posexplode(F.array(*names)).alias("i", "v"))
-        # By rule and vote: the documents, and how many of them are expected to be good.
-        sums = {(r["i"], r["v"]): (r["n"], r["good"]) for r in told.groupBy("i", "v").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")).collect()}
-        if not sums:
-            break
-        found = []
-        for i in range(len(names)):
-            (n_for, good_for), (n_against, good_against) = sums.get((i, 1), (0, 0.0)), sums.get((i, -1), (0, 0.0))
-            good, bad = good_for + good_against, n_for + n_against - good_for - good_against
-            on_good = clamp((good_for + 10 * _START[0]) / (good + 10), _GOOD_BOUNDS)
-            on_bad = clamp((n_against - good_against + 10 * _START[1]) / (bad + 10), _BAD_BOUNDS)
-            found.append((on_good, max(on_bad, 1 - on_good + 1e-4)))
-        n, good = (sum(x[k] for (i, _), x in sums.items() if i == 0) for k in (0, 1))
-        share = clamp((good + 8.5) / (n + 10), (0.02, 0.98))
-        moved = max(abs(share - prior), *(abs(a - b) for x, y in zip(found, accuracy, strict=True) for a, b in zip(x, y, strict=True)))
-        accuracy, prior = found, share
-        if moved < tolerance:
+        p = memberships(against, both, rates, shares) * n[:, None]
+        moved = np.clip((p.T @ against + 10 * first) / (p.T @ both + 10), 1e-4, 0.999)
+        parts = (p.sum(axis=0) + 1) / (n.sum() + len(shares))
+        change = max(np.abs(moved - rates).max(), np.abs(parts - shares).max())
+        rates, shares = moved, parts
+        if change < tolerance:
             break
-    return accuracy, prior
+    return rates, shares
+
+
+def memberships(against: np.ndarray, both: np.ndarray, rates: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """P(class | votes) of each pattern."""
+    logs = against @ np.log(rates).T + (both & ~against) @ np.log(1 - rates).T + np.log(shares)
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def posterior(votes: list[Column], rates: np.ndarray, shares: np.ndarray) -> Column:
+    """P(good | votes) as an expression."""
+    odds = F.lit(0.0)
+    for k in range(1, len(shares)):
+        logit = F.lit(float(np.log(shares[k] / shares[0])))
+        for i, v in enumerate(votes):
+            against, for_it = np.log(rates[k, i] / rates[0, i]), np.log((1 - rates[k, i]) / (1 - rates[0, i]))
+            logit = logit + F.when(v == 1, float(for_it)).when(v == -1, float(against)).otherwise(0.0)
+        odds = odds + F.exp(logit)
+    return 1 / (1 + odds)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -184,7 +189,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     votes = rules()
     voted = stats.select("*", *[v.alias(f"vote_{k}") for k, v in votes.items()])
     names = [f"vote_{k}" for k in votes]
-    accuracy, prior = fit(voted.select(*names), names)
+    rates, shares = fit(voted.select(*names), names, {k: tuple(f"vote_{r}" for r in own) for k, own in KINDS.items()})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = voted.withColumn("p_good", posterior([F.col(x) for x in names], accuracy, prior)).withColumn("base_failed", failed)
+    scored = voted.withColumn("p_good", posterior([F.col(x) for x in names], rates, shares)).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
