@@ -5,24 +5,29 @@
 2. A sketch holds ``REGISTERS`` values: minima of exponentially distributed hashes on an exponential
    scale, truncated to 16 bits. Sketches of parts merge by maximum; equal registers are at least as
    likely as the sets' Jaccard similarity.
-3. ``BANDS`` groups of ``ROWS`` registers are hashed; classes that share a band meet. A bucket links its
-   members to its smallest one, a star and not all pairs, and connected buckets form a cluster.
-4. Inside a cluster, members are compared by their sketches in blocks of bounded size; the likelihood of
-   the registers, given both exact set sizes, drops pairs that can't reach the threshold, and what stays
-   is compared on the full sets. A pair that is already connected inside the block is not compared
-   again, so a block gives fewer links than it has members.
-5. Components of the links give the result.
-
-At the threshold of 0.85 a linked pair shares no band with a probability of (1 - 0.85^5)^25 = 4e-7, and
-the likelihood test lets pass all within about six standard errors. A cluster of more than
-``BLOCK_ROWS`` members or ``BLOCK_SHINGLES`` shingles is cut into blocks that meet pairwise in separate
-tasks, so no task collects an unbounded group; the work of such a cluster of *different* texts that
-share bands still grows with the square of its size.
+3. Bands of registers are hashed; classes that share a band meet in its bucket. Of buckets with the same
+   members one is kept.
+4. ``STARS`` rounds compare the members of a bucket with one of them, its hub, so a bucket gives as many
+   pairs as it has members, each pair of classes is looked at once a round, and only 250-byte sketches
+   travel. The likelihood of the registers, given both exact set sizes, drops pairs that can't reach the
+   threshold; what stays is compared on the full sets. Connected components of the links found so far
+   settle a bucket when all its members are in one of them, which is what happens to groups of near copies.
+5. Buckets that aren't settled hold different texts, or copies that their hubs don't reach. There all
+   members of different components are compared in blocks of at most ``BLOCK_ROWS`` members and
+   ``BLOCK_SHINGLES`` shingles, sketches first and full sets after; a pair that is already connected
+   inside the block is not compared again, so a block gives fewer links than it has members.
+6. Components of all links give the result.
+
+A linked pair shares no band with a probability of less than a millionth (:func:`banding`), and the
+likelihood test lets pass all within about six standard errors. Work follows the buckets and not the
+clusters that they chain together, so texts that share a template cost what they share. No task collects
+an unbounded group: a bucket that isn't settled and has more members than a block is cut into blocks that
+meet pairwise in separate tasks, and only that work grows with the square of the bucket's size.
 
 Defined results: texts of fewer than five words are one shingle of the whole sequence; null, empty or
 blank texts have none and link with nothing; rows with equal ids are told apart by their text; classes
-whose ids are all null get a null component; an empty table gives an empty result; extra columns are
-ignored.
+whose ids are all null get a null component; very long texts are one set like any other, and a block holds
+few of them; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +44,12 @@ from .common import materialise, small_batches
 from .components import connected_components
 
 SHINGLE = 5
-BANDS, ROWS = 25, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 125
 #: SetSketch parameters of the two-byte form: base of the scale, rate, largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65535
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 2_000_000
+#: Rounds in which buckets are compared with a hub before their blocks are.
+STARS = 2
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -110,6 +116,15 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def banding(percent: int, miss: float = 1e-6) -> tuple[int, int]:
+    """Bands and rows: the longest bands of which a pair at the threshold shares none with a probability below ``miss``."""
+    for rows in range(8, 1, -1):
+        bands = REGISTERS // rows
+        if (1 - (percent / 100) ** rows) ** bands < miss:
+            return bands, rows
+    return REGISTERS, 1
+
+
 def likely(equal: np.ndarray, above: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, slack: float = 18.0) -> np.ndarray:
     """Whether the registers leave a Jaccard similarity of ``threshold`` possible.
 
@@ -143,10 +158,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def block_links(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect similar members of a block; between sides 0 and 1 if both occur, else among all."""
+def block_links(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, percent: int, components: list | None = None) -> Iterator[tuple[int, int]]:
+    """Links that connect similar members of a block; between sides 0 and 1 if both occur, else among all.
+
+    Members that share an entry of ``components`` are connected from the start.
+    """
     n = len(sets)
-    root = np.arange(n)
+    first = {c: i for i, c in reversed(list(enumerate(components or [])))}
+    root = np.array([first[c] for c in components]) if components else np.arange(n)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -164,7 +183,7 @@ def block_links(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray,
         if not len(j):
             continue
         same = (sketches[j] == sketches[i]).sum(axis=1)
-        near = same >= 0.5 * REGISTERS
+        near = same >= (percent / 100 - 0.3) * REGISTERS
         j, same = j[near], same[near]
         if not len(j):
             continue
@@ -177,19 +196,48 @@ def block_links(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray,
                 yield i, int(k)
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        digests, counts, bands = [], [], []
-        for text in batch["text"]:
-            s = shingle_set(text)
-            counts.append(len(s))
-            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            if len(s):
-                r = registers(s).reshape(BANDS, ROWS)
-                bands.append([xxhash.xxh3_64_intdigest(r[i].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)])
-            else:
-                bands.append([])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "digest": digests, "n_shingles": counts, "bands": bands})
+def _sketched(bands: int, rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            digests, counts, sketches, keys = [], [], [], []
+            for text in batch["text"]:
+                s = shingle_set(text)
+                counts.append(len(s))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                r = registers(s) if len(s) else None
+                sketches.append(r.tobytes() if len(s) else None)
+                keys.append([xxhash.xxh3_64_intdigest(r[i * rows : (i + 1) * rows].tobytes(), seed=i) - (1 << 63) for i in range(bands)] if len(s) else [])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "digest": digests, "n_shingles": counts, "sketch": sketches, "bands": keys})
+
+    return run
+
+
+def _probable(percent: int):
+    """Pairs whose sketches leave the threshold possible."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, REGISTERS) for c in ("su", "sv"))
+            n, m = batch["nu"].to_numpy(np.float64), batch["nv"].to_numpy(np.float64)
+            same = (a == b).sum(axis=1)
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (same >= (percent / 100 - 0.3) * REGISTERS)
+            ok[ok] = likely(same[ok], (a > b).sum(axis=1)[ok], n[ok], m[ok], percent / 100)
+            yield batch.loc[ok, ["u", "v"]]
+
+    return run
+
+
+def _equal_sets(percent: int):
+    """Pairs whose full sets reach the threshold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(batch["xu"], batch["xv"], strict=True)]
+            yield batch.loc[np.array(ok, bool), ["u", "v"]]
+
+    return run
 
 
 def _linker(percent: int):
@@ -198,20 +246,17 @@ def _linker(percent: int):
         key, held = None, []
 
         def links() -> pd.DataFrame:
-            if len(held) < 2:
-                return pd.DataFrame({"u": [], "v": []}).astype(object)
-            sets = [np.frombuffer(x[1], np.uint64) for x in held]
-            sketches = np.stack([registers(s) for s in sets])
-            found = list(block_links(sets, sketches, np.array([x[2] for x in held]), percent))
+            sets, sketches = [np.frombuffer(x[1], np.uint64) for x in held], np.stack([np.frombuffer(x[4], np.uint16) for x in held])
+            found = list(block_links(sets, sketches, np.array([x[2] for x in held]), percent, [x[3] for x in held]))
             return pd.DataFrame({"u": [held[i][0] for i, _ in found], "v": [held[k][0] for _, k in found]}, dtype=object)
 
         for batch in batches:
-            for cluster, i, j, side, digest, shingles in zip(*(batch[c] for c in ("cluster", "i", "j", "side", "digest", "shingles")), strict=True):
-                if (cluster, i, j) != key:
+            for band, i, j, side, digest, shingles, component, sketch in zip(*(batch[c] for c in ("band", "i", "j", "side", "digest", "shingles", "component", "sketch")), strict=True):
+                if (band, i, j) != key:
                     if len(held) > 1:
                         yield links()
-                    key, held = (cluster, i, j), []
-                held.append((digest, shingles, side))
+                    key, held = (band, i, j), []
+                held.append((digest, shingles, side, component, sketch))
         if len(held) > 1:
             yield links()
 
@@ -220,7 +265,40 @@ def _linker(percent: int):
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"digest": batch["digest"], "cluster": batch["cluster"], "n_blocks": batch["n_blocks"], "shingles": [shingle_set(t).tobytes() for t in batch["text"]]})
+        yield pd.DataFrame({"digest": batch["digest"], "n_shingles": batch["n_shingles"], "sketch": batch["sketch"], "shingles": [shingle_set(t).tobytes() for t in batch["text"]]})
+
+
+def _sides(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Pairs (u, v) with columns of both members' rows of ``table``: for "sketch": "s", su and sv."""
+    for side in "uv":
+        pairs = pairs.join(table.select(F.col("digest").alias(side), *[F.col(c).alias(short + side) for c, short in columns.items()]), side)
+    return pairs
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among pairs (u, v): by sketches, then by full sets."""
+    told = _sides(pairs, sets, {"sketch": "s", "n_shingles": "n"}).select("u", "v", "su", "sv", "nu", "nv")
+    maybe = materialise(told.mapInPandas(_probable(percent), "u binary, v binary"))
+    whole = _sides(maybe, sets, {"shingles": "x"}).select("u", "v", "xu", "xv")
+    return whole.mapInPandas(_equal_sets(percent), "u binary, v binary")
+
+
+def _block_links(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside buckets, given as rows (band, digest, component)."""
+    spark = unsettled.sparkSession
+    sizes = unsettled.join(sets.select("digest", "n_shingles"), "digest").groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    # Written, so that the joins have exchanges of their own and the rows of a hot bucket can be split.
+    blocks = materialise(sizes.select("band", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")))
+    own = F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int")
+    # Pairs of blocks are made from slim rows; sets are joined to what each pair needs.
+    slim = unsettled.join(blocks, "band").select("band", "digest", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("peer"))
+    slim = slim.select("band", "digest", "component", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") > F.col("peer")).cast("int").alias("side"))
+    # A pair of blocks whose members are all connected needs no look.
+    mixed = slim.groupBy("band", "i", "j").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "i", "j")
+    rows = slim.join(materialise(mixed), ["band", "i", "j"]).join(sets.select("digest", "sketch", "shingles"), "digest")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "digest")
+    return grouped.mapInPandas(_linker(percent), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,34 +310,14 @@ def labelled(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_co
     """As :func:`near_duplicates`, with the component's own ``label``: ids may be shared or null, labels aren't."""
     spark = docs.sparkSession
     small_batches(spark)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"))
     # Ids travel as text: pandas would turn whole numbers with nulls among them into floats.
-    told = slim.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketched, "doc_id string, text_key bigint, digest binary, n_shingles bigint, bands array<bigint>")
+    shape = "doc_id string, text_key bigint, digest binary, n_shingles bigint, sketch binary, bands array<bigint>"
+    told = slim.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketched(*banding(percent)), shape)
     sketched = materialise(told.withColumn("doc_id", F.col("doc_id").cast(slim.schema["doc_id"].dataType)))
     full = sketched.filter("digest IS NOT NULL")
-    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-
-    met = classes.select("digest", F.explode("bands").alias("band"))
-    # One row per bucket, class of blocks or component is written before it is joined back: the join then has
-    # exchanges of its own on both sides, and the engine can split the rows of a hot one between tasks.
-    hubs = materialise(met.groupBy("band").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    meets = met.join(hubs, "band").filter("digest <> hub").select(F.col("digest").alias("u"), F.col("hub").alias("v"))
-    clusters = materialise(connected_components(meets).withColumnsRenamed({"node": "digest", "label": "cluster"}))
-
-    members = clusters.join(classes.select("digest", "one", "n_shingles"), "digest")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = materialise(sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")))
-    chosen = members.join(blocks, "cluster").select("digest", "cluster", "n_blocks", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"))
-    # Repeated rows have the same id and text: one of them is enough.
-    texts = slim.join(chosen, slim["doc_id"].eqNullSafe(chosen["doc_id"]) & (slim["text_key"] == chosen["text_key"])).select("digest", "cluster", "n_blocks", "text")
-    sets = texts.mapInPandas(_sets, "digest binary, cluster binary, n_blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int")
-    pairs = sets.withColumn("own", own).select("digest", "cluster", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("peer"), "shingles")
-    pairs = pairs.select("digest", "cluster", "shingles", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") > F.col("peer")).cast("int").alias("side"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = pairs.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "digest")
-    links = grouped.mapInPandas(_linker(percent), "u binary, v binary")
-    found = connected_components(links).withColumnsRenamed({"node": "digest"})
+    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")]))
+    found = _links(slim, classes, percent)
 
     linked = classes.select("digest", "first_id").join(found, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = materialise(linked.groupBy("label").agg(F.min("first_id").alias("component_id")))
@@ -269,16 +327,58 @@ def labelled(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_co
     return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
+def _links(slim: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Component of each class that has a link: digest, label."""
+    met = classes.select("digest", F.explode("bands").alias("band"))
+    # Two sums of hashes tell the members of a bucket; of buckets with the same members one is enough.
+    members = [F.sum(F.xxhash64("digest", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in (1, 2)]
+    shared = met.groupBy("band").agg(F.count("*").alias("n"), *members).filter("n > 1")
+    # One row per bucket or component is written before it is joined back: the join then has exchanges of its
+    # own on both sides, and the engine can split the rows of a hot one between tasks.
+    buckets = materialise(shared.groupBy("n", "m1", "m2").agg(F.min("band").alias("band")).select("band"))
+    meets = materialise(met.join(buckets, "band").select("band", "digest"))
+    chosen = meets.select("digest").distinct().join(classes.select("digest", "one", "n_shingles", "sketch"), "digest")
+    chosen = chosen.select("digest", "n_shingles", "sketch", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("key"))
+    # Repeated rows have the same id and text: one of them is enough.
+    texts = slim.join(chosen, slim["doc_id"].eqNullSafe(chosen["id"]) & (slim["text_key"] == chosen["key"])).select("digest", "n_shingles", "sketch", "text")
+    sets = materialise(texts.mapInPandas(_sets, "digest binary, n_shingles bigint, sketch binary, shingles binary").dropDuplicates(["digest"]))
+
+    links = found = None
+    unsettled = meets.withColumn("component", F.col("digest"))
+    for k in range(STARS + 1):
+        if k == STARS:
+            more = _block_links(unsettled, sets, percent)
+        else:
+            hubs = materialise(unsettled.groupBy("band").agg(F.min_by("digest", F.xxhash64("digest", F.lit(k))).alias("hub"), F.min_by("component", F.xxhash64("digest", F.lit(k))).alias("hub_component")))
+            pairs = unsettled.join(hubs, "band").filter("component <> hub_component").select(F.least("digest", "hub").alias("u"), F.greatest("digest", "hub").alias("v")).distinct()
+            more = _star_links(pairs, sets, percent)
+        links = materialise(more if links is None else links.unionByName(more))
+        found = connected_components(links).withColumnsRenamed({"node": "digest"})
+        if k < STARS:
+            found = materialise(found)
+            now = unsettled.select("band", "digest").join(found, "digest", "left").select("band", "digest", F.coalesce("label", "digest").alias("component"))
+            # Buckets of two are settled by their one pair.
+            open_ = now.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2").select("band")
+            unsettled = materialise(now.join(materialise(open_), "band"))
+            if not unsettled.limit(1).count():
+                break
+    return found
+
+
+def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Documents with one row of each component: the one with the smallest doc_id. All columns are kept.
 
     Rows with the same id and text are one document; a document without words stays. Different texts that
-    share an id, or have none, are different documents.
+    share an id, or have none, are different documents. Columns may have any names.
     """
-    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = labelled(docs, percent).filter("kept").select(id_key.alias("__id"), F.col("text_key").alias("__key"), F.col("label").alias("__c"), "n_shingles")
+    safe = [f"__d{i}" for i in range(len(docs.columns))]
+    named = docs.toDF(*safe)
+    doc_id, text = (F.col(safe[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    id_key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    slim = named.select(doc_id.alias("doc_id"), text.alias("text"))
+    kept = labelled(slim, percent).filter("kept").select(id_key(F.col("doc_id")).alias("__id"), F.col("text_key").alias("__key"), F.col("label").alias("__c"), "n_shingles")
     alone = kept.filter("n_shingles = 0").select("__id", "__key").distinct()
     one = kept.filter("n_shingles > 0").groupBy("__c").agg(F.min(F.struct("__id", "__key")).alias("r")).select("r.*")
-    named = docs.withColumn("__id", id_key).withColumn("__key", F.xxhash64("text"))
+    named = named.withColumn("__id", id_key(doc_id)).withColumn("__key", F.xxhash64(text))
     out = named.join(one.unionByName(alone), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(s).alias(c) for s, c in zip(safe, docs.columns, strict=True)])

@@ -62,12 +62,66 @@ def test_near_duplicates_brute_force(docs):
     assert [got[i] for i in range(len(rows))] == brute_components(rows)
 
 
-def test_near_duplicates_in_blocks(docs, monkeypatch):
-    texts = variants(5, 60, 5) + variants(6, 30, 3)
-    rows = list(enumerate(texts))
-    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(rows)).collect()}
-    assert [got[i] for i in range(len(rows))] == brute_components(rows)
+@pytest.mark.parametrize("stars,rows", [(0, 7), (1, 5), (2, 128)])
+def test_near_duplicates_in_blocks(docs, monkeypatch, stars, rows):
+    texts = variants(5, 60, 5) + variants(6, 30, 3) + [prose(40 + i) for i in range(5)]
+    given_rows = list(enumerate(texts))
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "STARS", stars)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(given_rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(given_rows)
+
+
+def test_connected_members_of_a_block_are_not_compared():
+    sets = [near_dedup.shingle_set(t) for t in variants(5, 12, 3)]
+    sketches, sides = np.stack([near_dedup.registers(s) for s in sets]), np.zeros(12, int)
+    assert list(near_dedup.block_links(sets, sketches, sides, 85, ["c"] * 12)) == []
+    links = list(near_dedup.block_links(sets, sketches, sides, 50, ["c"] * 6 + ["d"] * 6))
+    assert len(links) == 1 and links[0][0] < 6 <= links[0][1]
+
+
+def test_chained_texts_cost_what_they_share(docs, monkeypatch):
+    """Each text shares half with the next: one cluster of different texts, in which nothing is compared but neighbours."""
+    moved = []
+    real = near_dedup.materialise
+
+    def written(df):
+        out = real(df)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", written)
+    totals = []
+    for n in (100, 400):
+        moved.clear()
+        texts = [" ".join(prose(100 + i + k, 60) for k in range(4)) for i in range(n)]
+        rows = near_dedup.near_duplicates(docs(texts)).collect()
+        assert all(r.kept for r in rows)
+        totals.append(sum(moved))
+    assert totals[1] < 4.6 * totals[0], totals
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.RandomState(8)
+    for percent, low, high in ((85, 0.85, 0.90), (80, 0.80, 0.85)):
+        bands, rows = near_dedup.banding(percent)
+        met = passed = 0
+        for _ in range(300):
+            j, n = rng.uniform(low, high), rng.randint(60, 600)
+            union = rng.randint(0, 2**62, int(n / j) + 1).astype(np.uint64)
+            own = (len(union) - n) // 2
+            a, b = np.unique(union[: n + own]), np.unique(np.concatenate((union[:n], union[n + own :])))
+            j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            x, y = near_dedup.registers(a), near_dedup.registers(b)
+            same = (x == y)[: bands * rows].reshape(bands, rows).all(axis=1).any()
+            met += same
+            passed += same and near_dedup.likely(np.array([(x == y).sum()]), np.array([(x > y).sum()]), np.array([float(len(a))]), np.array([float(len(b))]), min(j, percent / 100))[0]
+        assert (met, passed) == (300, 300)
+
+
+@pytest.mark.parametrize("percent,want", [(85, (25, 5)), (80, (31, 4)), (99, (15, 8))])
+def test_bands(percent, want):
+    assert near_dedup.banding(percent) == want
 
 
 def test_near_duplicates_odd_ids(docs):
@@ -84,6 +138,9 @@ def test_deduplication_keeps_one_of_each_group(docs):
     out = near_dedup.deduplicate(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 4, 6, 8]
+    named = df.withColumns({"__id": F.lit("keep me"), "__key": F.lit("and me"), "text_key": F.lit(3), "kept": F.lit(False)})
+    out = near_dedup.deduplicate(named)
+    assert out.columns == named.columns and {(r["__id"], r["__key"], r["kept"]) for r in out.collect()} == {("keep me", "and me", False)}
 
 
 def test_registers_merge_and_estimate():
