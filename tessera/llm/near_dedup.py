@@ -7,22 +7,23 @@
    likely as the sets' Jaccard similarity.
 3. Bands of registers are hashed; classes that share a band meet in its bucket. Of buckets with the same
    members one is kept.
-4. ``STARS`` rounds compare the members of a bucket with one of them, its hub, so a bucket gives as many
-   pairs as it has members, each pair of classes is looked at once a round, and only 250-byte sketches
-   travel. The likelihood of the registers, given both exact set sizes, drops pairs that can't reach the
-   threshold; what stays is compared on the full sets. Connected components of the links found so far
-   settle a bucket when all its members are in one of them, which is what happens to groups of near copies.
-5. Buckets that aren't settled hold different texts, or copies that their hubs don't reach. There all
-   members of different components are compared in blocks of at most ``BLOCK_ROWS`` members and
-   ``BLOCK_SHINGLES`` shingles, sketches first and full sets after; a pair that is already connected
-   inside the block is not compared again, so a block gives fewer links than it has members.
+4. The member of a bucket that meets most others is its hub: of a text and its copies, the text. All members
+   are compared with their hub, so a bucket gives as many pairs as it has members, and only 250-byte
+   sketches travel. The likelihood of the registers, given both exact set sizes, drops pairs that can't
+   reach the threshold; what stays is compared on the full sets. Connected components of these links settle
+   a bucket when all its members are in one of them.
+5. Buckets that aren't settled hold different texts, or copies that their hub doesn't reach. Those of one hub
+   are taken together, so that a pair which shares many bands is looked at once. Members of different
+   components are compared in blocks of at most ``BLOCK_ROWS`` members and ``BLOCK_SHINGLES`` shingles,
+   sketches first and full sets after; a pair that is already connected inside the block is not compared
+   again, so a block gives fewer links than it has members.
 6. Components of all links give the result.
 
 A linked pair shares no band with a probability of less than a millionth (:func:`banding`), and the
-likelihood test lets pass all within about six standard errors. Work follows the buckets and not the
-clusters that they chain together, so texts that share a template cost what they share. No task collects
-an unbounded group: a bucket that isn't settled and has more members than a block is cut into blocks that
-meet pairwise in separate tasks, and only that work grows with the square of the bucket's size.
+likelihood test lets pass all within about six standard errors. Work follows the hubs and not the clusters
+that buckets chain together: a group holds what shares a band with its hub. No task collects an unbounded
+group: one that isn't settled and has more members than a block is cut into blocks that meet pairwise in
+separate tasks, and only that work grows with the square of the group's unconnected members.
 
 Defined results: texts of fewer than five words are one shingle of the whole sequence; null, empty or
 blank texts have none and link with nothing; rows with equal ids are told apart by their text; classes
@@ -48,8 +49,6 @@ REGISTERS = 125
 #: SetSketch parameters of the two-byte form: base of the scale, rate, largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BLOCK_ROWS, BLOCK_SHINGLES = 128, 2_000_000
-#: Rounds in which buckets are compared with a hub before their blocks are.
-STARS = 2
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -251,11 +250,11 @@ def _linker(percent: int):
             return pd.DataFrame({"u": [held[i][0] for i, _ in found], "v": [held[k][0] for _, k in found]}, dtype=object)
 
         for batch in batches:
-            for band, i, j, side, digest, shingles, component, sketch in zip(*(batch[c] for c in ("band", "i", "j", "side", "digest", "shingles", "component", "sketch")), strict=True):
-                if (band, i, j) != key:
+            for hub, i, j, side, digest, shingles, component, sketch in zip(*(batch[c] for c in ("hub", "i", "j", "side", "digest", "shingles", "component", "sketch")), strict=True):
+                if (hub, i, j) != key:
                     if len(held) > 1:
                         yield links()
-                    key, held = (band, i, j), []
+                    key, held = (hub, i, j), []
                 held.append((digest, shingles, side, component, sketch))
         if len(held) > 1:
             yield links()
@@ -284,20 +283,29 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets, given as rows (band, digest, component)."""
+    """Links inside groups, given as rows (hub, digest, component).
+
+    Members of a group's largest component are connected already, so their blocks only meet blocks of the
+    others: copies with a few stragglers costs a row for each copy and block of stragglers.
+    """
     spark = unsettled.sparkSession
-    sizes = unsettled.join(sets.select("digest", "n_shingles"), "digest").groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    parts = unsettled.join(sets.select("digest", "n_shingles"), "digest").groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    top = parts.groupBy("hub").agg(F.max(F.struct("n", "component", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    needed = lambda n, s: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     # Written, so that the joins have exchanges of their own and the rows of a hot bucket can be split.
-    blocks = materialise(sizes.select("band", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")))
-    own = F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int")
+    blocks = materialise(top.select("hub", F.col("top.component").alias("major"), needed(F.col("top.n"), F.col("top.s")).alias("n_major"), needed(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("n_other")))
+    hashed, major, last = F.xxhash64("digest"), F.col("component") == F.col("major"), F.col("n_major") + F.col("n_other") - 1
+    own = F.when(major, F.pmod(hashed, F.col("n_major"))).otherwise(F.col("n_major") + F.pmod(hashed, F.col("n_other"))).cast("int")
+    peers = F.sequence(F.when(major, F.col("n_major")).otherwise(0), last)
     # Pairs of blocks are made from slim rows; sets are joined to what each pair needs.
-    slim = unsettled.join(blocks, "band").select("band", "digest", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("peer"))
-    slim = slim.select("band", "digest", "component", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") > F.col("peer")).cast("int").alias("side"))
+    slim = unsettled.join(blocks, "hub").select("hub", "digest", "component", own.alias("own"), F.explode(peers).alias("peer"))
+    # Written, so that no later grouping makes the join gather a hub's rows in one task.
+    slim = materialise(slim.select("hub", "digest", "component", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") > F.col("peer")).cast("int").alias("side")))
     # A pair of blocks whose members are all connected needs no look.
-    mixed = slim.groupBy("band", "i", "j").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "i", "j")
-    rows = slim.join(materialise(mixed), ["band", "i", "j"]).join(sets.select("digest", "sketch", "shingles"), "digest")
+    mixed = slim.groupBy("hub", "i", "j").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("hub", "i", "j")
+    rows = slim.join(materialise(mixed), ["hub", "i", "j"]).join(sets.select("digest", "sketch", "shingles"), "digest")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = rows.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "digest")
+    grouped = rows.repartition(n, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "digest")
     return grouped.mapInPandas(_linker(percent), "u binary, v binary")
 
 
@@ -335,34 +343,33 @@ def _links(slim: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     shared = met.groupBy("band").agg(F.count("*").alias("n"), *members).filter("n > 1")
     # One row per bucket or component is written before it is joined back: the join then has exchanges of its
     # own on both sides, and the engine can split the rows of a hot one between tasks.
-    buckets = materialise(shared.groupBy("n", "m1", "m2").agg(F.min("band").alias("band")).select("band"))
-    meets = materialise(met.join(buckets, "band").select("band", "digest"))
+    buckets = materialise(shared.groupBy("n", "m1", "m2").agg(F.min("band").alias("band")).select("band", "n"))
+    meets = materialise(met.join(buckets, "band").select("band", "digest", "n"))
+    # What meets most others is the likeliest to be the text that the others are copies of.
+    central = materialise(meets.groupBy("digest").agg(F.sum("n").alias("central")))
+    meets = meets.drop("n").join(central, "digest")
     chosen = meets.select("digest").distinct().join(classes.select("digest", "one", "n_shingles", "sketch"), "digest")
     chosen = chosen.select("digest", "n_shingles", "sketch", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("key"))
     # Repeated rows have the same id and text: one of them is enough.
     texts = slim.join(chosen, slim["doc_id"].eqNullSafe(chosen["id"]) & (slim["text_key"] == chosen["key"])).select("digest", "n_shingles", "sketch", "text")
     sets = materialise(texts.mapInPandas(_sets, "digest binary, n_shingles bigint, sketch binary, shingles binary").dropDuplicates(["digest"]))
 
-    links = found = None
-    unsettled = meets.withColumn("component", F.col("digest"))
-    for k in range(STARS + 1):
-        if k == STARS:
-            more = _block_links(unsettled, sets, percent)
-        else:
-            hubs = materialise(unsettled.groupBy("band").agg(F.min_by("digest", F.xxhash64("digest", F.lit(k))).alias("hub"), F.min_by("component", F.xxhash64("digest", F.lit(k))).alias("hub_component")))
-            pairs = unsettled.join(hubs, "band").filter("component <> hub_component").select(F.least("digest", "hub").alias("u"), F.greatest("digest", "hub").alias("v")).distinct()
-            more = _star_links(pairs, sets, percent)
-        links = materialise(more if links is None else links.unionByName(more))
-        found = connected_components(links).withColumnsRenamed({"node": "digest"})
-        if k < STARS:
-            found = materialise(found)
-            now = unsettled.select("band", "digest").join(found, "digest", "left").select("band", "digest", F.coalesce("label", "digest").alias("component"))
-            # Buckets of two are settled by their one pair.
-            open_ = now.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2").select("band")
-            unsettled = materialise(now.join(materialise(open_), "band"))
-            if not unsettled.limit(1).count():
-                break
-    return found
+    hubs = materialise(meets.groupBy("band").agg(F.max(F.struct("central", "digest"))["digest"].alias("hub")))
+    stars = materialise(meets.join(hubs, "band").select("band", "hub", "digest"))
+    pairs = stars.filter("digest <> hub").select(F.least("digest", "hub").alias("u"), F.greatest("digest", "hub").alias("v")).distinct()
+    links = materialise(_star_links(pairs, sets, percent))
+    found = materialise(connected_components(links).withColumnsRenamed({"node": "digest"}))
+    now = stars.join(found, "digest", "left").select("band", "hub", "digest", F.coalesce("label", "digest").alias("component"))
+    # Buckets of two are settled by their one pair.
+    unsettled = now.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2").select("band")
+    groups = materialise(now.join(materialise(unsettled), "band").select("hub", "digest", "component").distinct())
+    more = materialise(_block_links(groups, sets, percent))
+    # Components are joined by links between their labels.
+    named = more.join(found.select(F.col("digest").alias("u"), F.col("label").alias("lu")), "u", "left").join(found.select(F.col("digest").alias("v"), F.col("label").alias("lv")), "v", "left")
+    between = connected_components(named.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))).withColumnsRenamed({"node": "old", "label": "new"})
+    ends = more.select(F.col("u").alias("digest")).unionByName(more.select(F.col("v").alias("digest"))).distinct()
+    all_ = found.join(ends, "digest", "full").select("digest", F.coalesce("label", "digest").alias("old"))
+    return all_.join(between, "old", "left").select("digest", F.coalesce("new", "old").alias("label"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
