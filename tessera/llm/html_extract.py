@@ -7,14 +7,18 @@ labelling of least total cost: text that looks doubtful on its own goes with its
 
 The classifier is a logistic regression, trained here on blocks of a bounded sample of pages whose
 markup says what they are (inside ``article`` or ``main``, or inside ``nav``, ``footer``, ``aside``, ads,
-forms); those giveaways are not among its features. Blocks in elements that can't hold main text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) by their tag, role or being hidden are bound
-to the boilerplate terminal. A class or id that names furniture is a cost instead: it doesn't reach into
+forms); those giveaways are not among its features. They enter the terminal capacities as prior costs
+(``PRIORS``) that compete with how a block's text looks and with its neighbours: being inside the page's article
+speaks for a block half as much as the worst looks speak against it, so a doubtful line is kept by the lines
+around it; elements that hold no main text (menus, headers, footers, sidebars, forms, dialogs)
+speak against it more than any looks speak for it; a class or id that names furniture speaks against it as much
+as the name is plain, and prose inside an article outweighs a name that may mean anything. Only what a page
+hides is bound to the boilerplate terminal, since no reader sees it. The mark of a class or id doesn't reach into
 article or main, nor count for a wrapper that holds most of the text of a page with no content outside it.
 
 Defined results: null and empty pages give an empty text; a page without any block gives an empty text;
 broken markup is read as far as possible (unclosed tags close with their parents, stray ends are
-ignored); repeated rows get equal results; an empty table gives an empty result; extra columns are
+ignored); a page of any length is one graph with a node for each block; repeated rows get equal results; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -49,36 +53,51 @@ CHROME_WORDS = re.compile(
     r"newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|pagination|pager|skip|toolbar|masthead|topbar|copyright|legal|disclaimer|tags?|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, names that hardly mean anything else.
+PLAIN_WORDS = re.compile(
+    r"(?:^|\s)(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|side-?bar|widget|ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notification|popup|modal|overlay|"
+    r"newsletter|subscribe|subscription|signup|login|related|recommend\w*|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|masthead|topbar)(?:$|[\s_-])",
+    re.I,
+)
 #: Classes that tell what a wrapper has or lacks, not what it is.
 MODIFIERS = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S*", re.I)
-#: What a class or id of furniture adds to a block's cost as content; margins go up to 8.
-FURNITURE = 10.0
+#: What speaks for a block (above 0) and against it, on the scale of the classifier's margins, which go up to ``MARGIN``.
+MARGIN = 4.0
+PRIORS = {"article": 2.0, "outside": -5.5, "element": -9.0, "plain name": -8.0, "name": -5.0, "heading": 0.75}
+#: Weight of the edge between blocks that follow each other in one element.
+SMOOTH = 3.0
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+# An attribute's value ends at its quote, or without one at white space; a quote elsewhere is a letter like any other.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|[^>=]|=)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?", re.S)
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("chrome", "heading", "link", "main", "path", "soft", "tag", "text")
+    __slots__ = ("chrome", "heading", "hidden", "link", "main", "path", "soft", "tag", "text")
 
-    def __init__(self, text: str, link: int, tag: str, path: tuple[int, ...], chrome: bool, main: bool, heading: bool, soft: tuple[int, ...] = ()) -> None:
-        self.text, self.link, self.tag, self.path, self.chrome, self.main, self.heading, self.soft = text, link, tag, path, chrome, main, heading, soft
+    def __init__(self, text: str, link: int, tag: str, path: tuple[int, ...], chrome: bool, main: bool, heading: bool, soft: tuple[tuple[int, bool], ...] = (), hidden: bool = False) -> None:
+        self.text, self.link, self.tag, self.path, self.chrome, self.main, self.heading, self.soft, self.hidden = text, link, tag, path, chrome, main, heading, soft, hidden
 
 
-def _marks(attrs: str) -> tuple[bool, bool, bool, bool]:
-    """Whether attributes mark page furniture by role, main content, a hidden element, or furniture by class or id."""
-    chrome = main = hidden = soft = False
+def _marks(attrs: str) -> tuple[bool, bool, bool, int]:
+    """Whether attributes mark page furniture by role, main content, a hidden element, and furniture by class or id (1, or 2 if plainly)."""
+    chrome, main, hidden, soft = False, False, False, 0
     for m in _ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             value = MODIFIERS.sub("", value)
             if CHROME_WORDS.search(value):
-                soft = True
+                soft = max(soft, 1 + bool(PLAIN_WORDS.search(value)))
             elif CONTENT_WORDS.search(value):
                 main = True
         elif name == "role":
@@ -92,8 +111,8 @@ def _marks(attrs: str) -> tuple[bool, bool, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order. References are decoded and white space is turned into single spaces."""
     out: list[Block] = []
-    # Open elements: tag, number, chrome, main, numbers of the elements around that a class calls furniture.
-    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+    # Open elements: tag, number, chrome, main, elements around that a class calls furniture (number, whether plainly), hidden.
+    stack: list[tuple[str, int, bool, bool, tuple[tuple[int, bool], ...], bool]] = []
     parts: list[str] = []
     link = depth_a = number = 0
 
@@ -106,7 +125,7 @@ def blocks(page: str) -> list[Block]:
                 # Paragraphs and inline elements that markup forgot to close don't set a block apart.
                 path = tuple(x[1] for x in stack if x[0] in BLOCK and x[0] != "p")
                 tag = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")
-                out.append(Block(text, link, tag, path, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), stack[-1][4] if stack else ()))
+                out.append(Block(text, link, tag, path, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), stack[-1][4] if stack else (), bool(stack) and stack[-1][5]))
         link = 0
 
     def words(text: str) -> None:
@@ -116,7 +135,8 @@ def blocks(page: str) -> list[Block]:
             if depth_a:
                 link += len(text.strip())
 
-    at, low = 0, None
+    at = 0
+    endless: set[str] = set()
     while True:
         m = _TOKEN.search(page, at)
         if not m:
@@ -150,15 +170,14 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             if attrs.rstrip().endswith("/") and tag in ("svg", "math", "object"):
                 continue
-            if low is None:
-                low = page.lower()
-            close = low.find(f"</{tag}", at)
-            if close < 0:
+            close = None if tag in endless else _CLOSE[tag].search(page, at)
+            if not close:
+                endless.add(tag)
                 # An unclosed script hides the rest of the page; other unclosed elements are passed over.
                 if tag in ("script", "style", "xmp"):
                     break
                 continue
-            end = page.find(">", close)
+            end = page.find(">", close.end())
             at = len(page) if end < 0 else end + 1
             if tag in BLOCK:
                 flush()
@@ -189,20 +208,21 @@ def blocks(page: str) -> list[Block]:
                         if stack[k][0] in ("ul", "ol", "dl", "table", "menu", "select"):
                             break
                 depth_a = sum(x[0] == "a" for x in stack)
-        chrome, main, soft = stack[-1][2:] if stack else (False, False, ())
+        chrome, main, soft, hidden = stack[-1][2:] if stack else (False, False, (), False)
         if tag in CHROME or (tag == "header" and not main):
             chrome = True
         elif tag in ("article", "main"):
             main, soft = True, ()
         number += 1
         if attrs and len(attrs) > 3:
-            c, mark, hidden, named = _marks(attrs)
-            if tag not in ("html", "body") and (hidden or c and tag not in ("article", "main")):
-                chrome = True
+            c, mark, unseen, named = _marks(attrs)
+            if tag not in ("html", "body"):
+                hidden |= unseen
+                chrome |= unseen or c and tag not in ("article", "main")
             if named and tag not in ("html", "body", "article", "main"):
-                soft = (*soft, number)
+                soft = (*soft, (number, named == 2))
             main |= mark and not c and not named
-        stack.append((tag, number, chrome, main, soft))
+        stack.append((tag, number, chrome, main, soft, hidden))
         if tag == "a":
             depth_a += 1
     flush()
@@ -215,13 +235,13 @@ def _without_wrappers(page: list[Block]) -> list[Block]:
     held: dict[int, int] = {}
     for b in page:
         if not b.chrome:
-            for k in b.soft:
+            for k, _ in b.soft:
                 held[k] = held.get(k, 0) + len(b.text)
     most = {k for k, n in held.items() if 2 * n > total}
-    most -= {k for k in most if any(b.main and not b.chrome and k not in b.soft for b in page)}
+    most -= {k for k in most if any(b.main and not b.chrome and all(k != x for x, _ in b.soft) for b in page)}
     for b in page:
         if most and b.soft:
-            b.soft = tuple(k for k in b.soft if k not in most)
+            b.soft = tuple(x for x in b.soft if x[0] not in most)
     return page
 
 
@@ -337,28 +357,33 @@ def _common(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     return n
 
 
-def label(page: list[Block], weights: np.ndarray, smooth: float = 1.0, bound: float = 1e6) -> list[bool]:
-    """Which blocks are content, by the cut of least cost."""
-    if not page:
-        return []
-    margin = np.clip(features(page) @ weights, -8, 8)
+def costs(page: list[Block], weights: np.ndarray) -> list[float]:
+    """What speaks for each block being content: the classifier's margin and the priors of the markup."""
+    margin = np.clip(features(page) @ weights / 2, -MARGIN, MARGIN)
     has_main = any(b.main and not b.chrome and not b.soft for b in page)
-    source, sink = [], []
+    out = []
     for b, m in zip(page, margin.tolist(), strict=True):
+        m += PRIORS["heading"] * b.heading
         if b.chrome:
-            source.append(0.0)
-            sink.append(bound)
+            m += PRIORS["element"]
         elif b.soft:
-            source.append(max(0.0, m))
-            sink.append(max(0.0, -m) + FURNITURE)
+            plain = any(x for _, x in b.soft)
+            m += PRIORS["plain name"] if plain else PRIORS["name"]
+            if has_main and not plain:
+                m += PRIORS["article" if b.main else "outside"]
         elif has_main:
-            # The page says where its article is: that outweighs how a block looks.
-            source.append(20.0 if b.main else max(0.0, m / 2))
-            sink.append(0.0 if b.main else 20.0)
-        else:
-            m += 1.5 * b.heading
-            source.append(max(0.0, m))
-            sink.append(max(0.0, -m))
+            m += PRIORS["article" if b.main else "outside"]
+        out.append(m)
+    return out
+
+
+def label(page: list[Block], weights: np.ndarray, smooth: float = SMOOTH, bound: float = 1e6) -> list[bool]:
+    """Which blocks are content, by the cut of least cost."""
+    if not page:
+        return []
+    cost = costs(page, weights)
+    source = [0.0 if b.hidden else max(0.0, c) for b, c in zip(page, cost, strict=True)]
+    sink = [bound if b.hidden else max(0.0, -c) for b, c in zip(page, cost, strict=True)]
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(page):
