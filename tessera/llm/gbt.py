@@ -114,10 +114,9 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> Isotonic:
     return Isotonic(b[:, 2] / b[:, 1], (b[:, 0] + 0.02) / (b[:, 1] + 0.04))
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, folds: int = 3, **how) -> np.ndarray:
-    """Margin of each row from a forest that has not seen it."""
-    out, fold = np.zeros(len(y)), np.arange(len(y)) % folds
-    for k in range(folds):
-        if (fold == k).any():
-            out[fold == k] = fit(x[fold != k], y[fold != k], **how).margin(x[fold == k])
+def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, **how) -> np.ndarray:
+    """Margin of each row from a forest that was learnt from the rows of the other folds."""
+    out = np.zeros(len(y))
+    for k in np.unique(fold):
+        out[fold == k] = fit(x[fold != k], y[fold != k], **how).margin(x[fold == k])
     return out

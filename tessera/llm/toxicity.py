@@ -3,12 +3,17 @@
 Features are densities of a lexicon, how near its words stand to words that address the reader, shares
 of capitals and of punctuation, and rates of obfuscation (characters that stand for letters, starred or
 split words, drawn-out letters). The lexicon has a short hand-written part and a learnt part: words and
-word beginnings that mark toxic documents. Each half of the labelled documents is described with the
-lexicon learnt from the other half, so that the trees see a lexicon as it performs on unseen text. At
-most ``MAX_TRAIN`` documents are learnt from, those with the smallest hash of doc_id; scores of unseen
-folds are calibrated by pooling adjacent violators. Only the text is read for a score.
-
-Defined results: as in :mod:`quality_classifier`.
+word beginnings that mark toxic documents with more than chance. The labelled documents are dealt to ``FOLDS``
+parts, and each part is described with the lexicon learnt from the others, so that the trees see a lexicon as
+it performs on unseen text. At most ``MAX_TRAIN`` documents are learnt from, those with the smallest hash of
+doc_id. The isotonic map is fitted to margins of rows that a forest of the same size, learnt from the other
+parts, has not seen; such a forest has all but a ``FOLDS``-th of the rows and of the lexicon, so its margins
+are on the scale of the final forest's. Only the text is read for a score.
+
+Defined results: null text scores as empty text; rows with a null doc_id or label are not learnt from;
+a document labelled twice counts twice; without labels of both classes each score is the share of toxic
+labels (one half without any); very long texts are read whole; repeated rows get equal scores; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,19 +21,21 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
 from .common import materialise
-from .quality_classifier import feature_rows, held_out, labelled, scored
+from .quality_classifier import held_out, labelled, scored
 
 MAX_TRAIN = 20_000
-#: Entries of the learnt lexicon at most; it is a model of bounded size.
-LEARNT = 4_000
+FOLDS = 5
+#: A learnt entry's log odds, and these over their standard error, must be above.
+LEAST_ODDS, LEAST_Z = 1.5, 2.5
 STEMS = (4, 5, 6, 7, 8)
 #: Plain insults, and words that address the reader.
 INSULTS = frozenset(
@@ -128,24 +135,27 @@ def make_features(learnt: dict[str, float]) -> Callable[[str | None], list[float
 
 
 def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
-    """Lexicons from the first half of the rows, from the second, and from all (column ``half`` is 0 or 1).
+    """Lexicons from all rows but those of each fold (column ``fold``), and last from all.
 
-    A lexicon holds the weights of words and beginnings that mark toxic documents, as smoothed log odds
-    of document counts, the ``LEARNT`` strongest of them. The counts are grouped sums over bounded rows.
+    A lexicon holds the weights of words and beginnings that mark toxic documents, as smoothed log odds of
+    document counts. All that stand out from chance are taken; the documents counted are ``MAX_TRAIN`` at most.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
     keys = F.concat(F.col("w"), *[_beginnings(k) for k in STEMS])
-    tally = [F.sum(((F.col("half") == h) & (F.col("y") == y)).cast("int")).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
-    counted = materialise(rows.select("half", "y", words.alias("w")).select("half", "y", F.explode(keys).alias("k")).groupBy("k").agg(*tally).filter("n01 + n11 >= 3"))
+    tally = [F.sum(((F.col("fold") == f) & (F.col("y") == y)).cast("int")).alias(f"n{f}{y}") for f in range(FOLDS) for y in (0, 1)]
+    toxic = sum((F.col(f"n{f}1") for f in range(FOLDS)), F.lit(0))
+    counted = materialise(rows.select("fold", "y", words.alias("w")).select("fold", "y", F.explode(keys).alias("k")).groupBy("k").agg(*tally).filter(toxic >= 3))
     total, out = rows.agg(*tally).first(), []
-    for halves in ((0,), (1,), (0, 1)):
-        toxic, clean = (sum((F.col(f"n{h}{y}") for h in halves), F.lit(0)) for y in (1, 0))
-        all_toxic, all_clean = (sum(total[f"n{h}{y}"] or 0 for h in halves) for y in (1, 0))
+    for left in [*range(FOLDS), None]:
+        folds = [f for f in range(FOLDS) if f != left]
+        toxic, clean = (sum((F.col(f"n{f}{y}") for f in folds), F.lit(0)) for y in (1, 0))
+        all_toxic, all_clean = (sum(total[f"n{f}{y}"] or 0 for f in folds) for y in (1, 0))
         if not all_toxic or not all_clean:
             out.append({})
             continue
         odds = F.log((toxic + 0.5) / (all_toxic + 1)) - F.log((clean + 0.5) / (all_clean + 1))
-        best = counted.withColumn("t", toxic).withColumn("s", odds).filter("t >= 3 AND s > 1.5").orderBy((F.col("s") * F.sqrt("t")).desc(), "k").limit(LEARNT)
+        error = F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        best = counted.withColumn("t", toxic).withColumn("s", odds).withColumn("z", odds / error).filter((F.col("t") >= 3) & (F.col("s") > LEAST_ODDS) & (F.col("z") > LEAST_Z))
         out.append({r["k"]: float(r["s"]) for r in best.select("k", "s").collect()})
     return out
 
@@ -154,16 +164,28 @@ def _beginnings(k: int) -> Column:
     return F.array_distinct(F.transform(F.filter("w", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))))
 
 
+def _described(rows: DataFrame, lexicons: list[dict[str, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and folds of the rows learnt from, each described with the lexicon of the other folds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        describe = [make_features(x) for x in lexicons[:FOLDS]]
+        for b in batches:
+            x = [list(map(float, describe[f](t))) for f, t in zip(b["fold"], b["text"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "fold": b["fold"], "x": x})
+
+    got = sorted((r["doc_id"], r["y"], r["fold"], tuple(r["x"])) for r in rows.select("doc_id", "text", "y", "fold").mapInPandas(run, "doc_id string, y int, fold int, x array<double>").collect())
+    if not got:
+        return np.zeros((0, 1)), np.zeros(0), np.zeros(0, int)
+    return np.array([r[3] for r in got]), np.array([r[1] for r in got], np.float64), np.array([r[2] for r in got])
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """Score each document; labels are learnt from rows whose crc32(doc_id) mod ``modulus`` isn't ``remainder``."""
-    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int").alias("half")
-    rows = materialise(labelled(docs, labels, "toxic", ~held_out(F.col("__id"), modulus, remainder), MAX_TRAIN).select("*", half))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = materialise(labelled(docs, labels, "toxic", ~held_out(F.col("__id"), modulus, remainder), MAX_TRAIN).select("*", fold))
     lexicons = learn_lexicons(rows)
-    # The rows of a half get the lexicon of the other one.
-    parts = [feature_rows(rows.filter(F.col("half") == h).select("doc_id", "text", "y"), make_features(lexicons[1 - h])) for h in (0, 1)]
-    parts = [p for p in parts if len(p[1])] or parts[:1]
-    x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
+    x, y, folds = _described(rows, lexicons)
     forest = gbt.fit(x, y)
-    calibrated = gbt.isotonic(gbt.out_of_fold(x, y, trees=60), y)
-    features = make_features(lexicons[2])
+    calibrated = gbt.isotonic(gbt.out_of_fold(x, y, folds), y)
+    features = make_features(lexicons[FOLDS])
     return scored(docs, features, lambda v: calibrated(forest.margin(v)), held_out(F.col("doc_id"), modulus, remainder))
