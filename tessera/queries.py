@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -276,11 +276,18 @@ def similarity(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("n_name", "r_name", levenshtein_similarity(F.col("n_name"), F.col("r_name")).alias("similarity"))
 
 
+def _join_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All orders, a third of them without a customer, and all customers, half of them under keys that no order has."""
+    orders = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("k"), "o_orderkey")
+    return orders, table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("k"), "c_name")
+
+
 for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full", "FULL JOIN")):
     register(
         f"merge_join_{_how}",
-        f"SELECT coalesce(o.k, c.k) AS k, o_orderkey, c_name FROM (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_orderkey % 3 = 0) o {_join} (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0) c ON o.k = c.k",
-    )(lambda spark, sf, how=_how: merge_join(table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey"), table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name"), ["k"], how))
+        f"""SELECT coalesce(o.k, c.k) AS k, o_orderkey, c_name FROM (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS k, o_orderkey FROM orders) o
+            {_join} (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END AS k, c_name FROM customer) c ON o.k = c.k""",
+    )(lambda spark, sf, how=_how: merge_join(*_join_sides(spark, sf), ["k"], how))
 
 
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -474,11 +481,17 @@ def plugin_column(spark: SparkSession, sf: str) -> DataFrame:
 # Sources and sinks
 
 
-@register("xlsx_serial_date", "SELECT o_orderkey, CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS BIGINT) AS serial, CAST(o_orderdate AS DATE) AS back FROM orders")
+@register("xlsx_serial_date", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS DOUBLE) AS serial, CAST(o_orderdate AS DATE) AS back FROM orders")
 def xlsx_serial_date(spark: SparkSession, sf: str) -> DataFrame:
-    base = F.lit("1899-12-30").cast("date")
-    df = table(spark, sf, "orders").select("o_orderkey", F.datediff(F.col("o_orderdate").cast("date"), base).cast("bigint").alias("serial"))
-    return df.select("*", F.date_add(base, F.col("serial").cast("int")).alias("back"))
+    """The library's serial of every order's day, and the day that the library reads from it."""
+    from .sources.xlsx import datetime_to_serial, serial_to_datetime
+
+    def run(batches):
+        for b in batches:
+            serials = [float(datetime_to_serial(d)) for d in b["day"]]
+            yield b.assign(serial=serials, back=[serial_to_datetime(s).date() for s in serials])
+
+    return table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().mapInPandas(run, "day date, serial double, back date")
 
 
 @register("sql_insert_text", "SELECT 'INSERT INTO nations (n_nationkey, n_name, n_regionkey) VALUES' || chr(10) || string_agg('(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')', ',' || chr(10) ORDER BY n_nationkey) || ';' || chr(10) AS value FROM nation")
@@ -508,7 +521,12 @@ def json_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("json_fields", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", kafka.F.from_json("props", "k bigint")["k"].alias("k"))
+    """Events as lines of JSON with their properties inside, written and read by the library, whose nested values come back as JSON text."""
+    from .sources.json import read_json, write_json
+
+    path = new_path(spark, "-json")
+    write_json(table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint").alias("props")), path)
+    return read_json(spark, path).select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 @register("cell_typing", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'bool' WHEN 3 THEN 'string' WHEN 4 THEN NULL ELSE 'float' END AS kind FROM part")
@@ -628,30 +646,35 @@ def stream_pivot(spark: SparkSession, sf: str) -> DataFrame:
 # More of the surface
 
 
-@register("apply_schema", "SELECT c_custkey AS a, CAST(c_acctbal AS VARCHAR) AS b, CAST(c_nationkey AS DOUBLE) AS c FROM customer WHERE c_acctbal <> trunc(c_acctbal)")
+@register("apply_schema", "SELECT c_custkey AS a, CASE WHEN c_acctbal = trunc(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END AS b, CAST(c_nationkey AS DOUBLE) AS c FROM customer")
 def schema_applied(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.schema import apply_schema
 
-    df = table(spark, sf, "customer").filter("c_acctbal <> floor(c_acctbal) AND c_acctbal <> ceil(c_acctbal)").select(F.col("c_custkey").cast("string").alias("a"), F.col("c_acctbal").alias("b"), F.col("c_nationkey").alias("c"))
+    df = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("a"), F.col("c_acctbal").alias("b"), F.col("c_nationkey").alias("c"))
     return apply_schema(df, [ColumnSchema("a", "int"), ColumnSchema("b", "string"), ColumnSchema("c", "float")])
 
 
-@register("sort_within_partitions", "SELECT o_orderkey, o_orderdate FROM orders")
+@register("sort_within_partitions", "SELECT o_orderkey, o_orderdate, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place FROM orders")
 def sorted_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every partition holds whole priorities; a row's place is its distance from the first row of its priority in the partition."""
     from .operators.sort import sort_within
 
-    return sort_within(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [SortKey("o_orderdate", descending=True)], ["o_orderkey"])
+    parts = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority").repartition("o_orderpriority")
+    placed = sort_within(parts, [SortKey("o_orderpriority"), SortKey("o_orderdate", descending=True)], ["o_orderkey"]).withColumn("at", F.monotonically_increasing_id())
+    first = F.min("at").over(Window.partitionBy("o_orderpriority"))
+    return placed.select("o_orderkey", "o_orderdate", "o_orderpriority", (F.col("at") - first).alias("place"))
 
 
-@register("bloom_keys", "SELECT count(DISTINCT c_mktsegment) AS present, 0::BIGINT AS missed FROM customer")
+@register("bloom_keys", "SELECT count(DISTINCT s_suppkey) AS present, 0::BIGINT AS missed, true AS few_false FROM supplier")
 def bloom_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """No key that was put in is missed; the segments are few by their meaning."""
+    """No key that was put in is missed, and of as many keys that were not at most three times the promised share is reported."""
     from .operators.dedup import bloom_filter
 
-    df = table(spark, sf, "customer")
-    bloom = bloom_filter(df, "c_mktsegment", 1000, 0.01)
-    keys = [r[0] for r in df.select("c_mktsegment").distinct().collect()]
-    return spark.createDataFrame([(len(keys), sum(not bloom.mightContain(k) for k in keys))], "present bigint, missed bigint")
+    df = table(spark, sf, "supplier").select("s_suppkey")
+    keys = [r[0] for r in df.distinct().collect()]
+    bloom, top = bloom_filter(df, "s_suppkey", len(keys), 0.01), max(keys, default=0)
+    false = sum(bloom.mightContain(str(top + k)) for k in range(1, len(keys) + 1))
+    return spark.createDataFrame([(len(keys), sum(not bloom.mightContain(str(k)) for k in keys), false <= 0.03 * len(keys))], "present bigint, missed bigint, few_false boolean")
 
 
 @register("csv_bytes", "SELECT * FROM (VALUES (1::BIGINT, 'x, y', true), (2::BIGINT, NULL, false)) AS t(id, words, flag)")

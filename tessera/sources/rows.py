@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialise
@@ -17,7 +17,7 @@ def with_row_index(df: DataFrame, name: str = "_row", scan: bool = False) -> Dat
     """
     at = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     at = at if scan else materialise(at)
-    counts = at.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
-    runs = counts.agg(F.array_sort(F.collect_list(F.struct("__p", "n"))).alias("runs"))
-    starts = runs.select(F.explode(F.transform("runs", lambda r: F.struct(r["__p"].alias("__p"), F.aggregate(F.filter("runs", lambda o: o["__p"] < r["__p"]), F.lit(0).cast("long"), lambda a, o: a + o["n"]).alias("__s")))).alias("s")).select("s.*")
+    # One row for each partition, bounded by the plan and not by the data: a window over it runs in one task.
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__s"))
     return at.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")

@@ -160,7 +160,7 @@ def _python_rows(df: DataFrame, order: list[str] | None) -> Iterator[list]:
         yield list(r)
 
 
-def workbook_bytes(df: DataFrame, format: FileFormat, config: WriterConfig | None = None, order: list[str] | None = None, template: tuple | None = None) -> tuple[bytes, int]:
+def workbook_bytes(df: DataFrame, format: FileFormat, config: WriterConfig | None = None, order: list[str] | None = None, template: xlsx.Style | None = None) -> tuple[bytes, int]:
     """The table as a workbook of one sheet, and its rows. Rows stream through the driver partition by
     partition; a sheet holds about a million rows at most, so a workbook is never large data."""
     out, config = io.BytesIO(), config or WriterConfig()
@@ -178,7 +178,7 @@ def workbook_bytes(df: DataFrame, format: FileFormat, config: WriterConfig | Non
     return out.getvalue(), n
 
 
-def write_workbook(df: DataFrame, path: str, config: WriterConfig | None = None, order: list[str] | None = None, template: tuple | None = None) -> int:
+def write_workbook(df: DataFrame, path: str, config: WriterConfig | None = None, order: list[str] | None = None, template: xlsx.Style | None = None) -> int:
     """Write a workbook to any store and return the number of data rows."""
     data, n = workbook_bytes(df, FileFormat.from_path(path), config, order, template)
     write_object(df.sparkSession, path, data)

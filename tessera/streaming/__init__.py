@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.aggregate import AggregateSpec, aggregate
+from ..functions.values import column, display
+from ..operators.aggregate import AggregateSpec
 from ..operators.pivot import pivot_declared
 
 
@@ -20,10 +21,20 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, form
 
 
 def running_aggregate(stream: DataFrame, specs: Sequence[AggregateSpec], by: Sequence[str] = ()) -> DataFrame:
-    """Aggregates over all rows so far; write it in complete mode. Exact distinct counts need unbounded
-    state that the engine refuses on streams, so they are approximate here."""
-    soft = [AggregateSpec(s.at, "approx_distinct", s.alias or f"count_distinct_{s.at}") if s.op == "count_distinct" else s for s in specs]
-    return aggregate(stream, soft, by)
+    """Aggregates over all rows so far; write it in complete mode.
+
+    The engine has no distinct aggregates on streams, so ``count_distinct`` keeps the set of values as state
+    and counts that: it is exact, and its state grows with the distinct values. ``approx_distinct`` has a
+    state of bounded size, for those who ask for it.
+    """
+    return stream.groupBy(*by).agg(*[_expression(stream, s) for s in specs])
+
+
+def _expression(stream: DataFrame, spec: AggregateSpec) -> Column:
+    if spec.op != "count_distinct":
+        return spec.expression(stream)
+    name, c, kind = column(stream, spec.at)
+    return F.size(F.collect_set(F.when(c.isNotNull(), display(c, kind)))).cast("long").alias(spec.alias or f"count_distinct_{name}")
 
 
 def running_dedup(stream: DataFrame, keys: Sequence[str], time: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -42,10 +53,21 @@ def running_pivot(stream: DataFrame, row: str, col: str, value: str, values: Seq
 def windowed(stream: DataFrame, time: str, width: str, specs: Sequence[AggregateSpec], slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Aggregates by event-time window; rows later than ``late`` are dropped with the window's state."""
     kept = stream.withWatermark(time, late)
-    return kept.groupBy(F.window(time, width, slide or width).alias("window")).agg(*[s.expression(kept) for s in specs]).select("window.start", "window.end", *[s.alias or f"{s.op}_{s.at}" for s in specs])
+    return kept.groupBy(F.window(time, width, slide or width).alias("window")).agg(*[_expression(kept, s) for s in specs]).select("window.start", "window.end", *[s.alias or f"{s.op}_{s.at}" for s in specs])
 
 
 def to_table(result: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataStreamWriter:
     """An in-memory sink for tests and small results."""
     writer = result.writeStream.format("memory").queryName(name).outputMode(mode)
     return writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+
+
+def to_files(result: DataFrame, path: str, checkpoint: str, format: str = "parquet", by: Sequence[str] = ()) -> DataStreamWriter:
+    """Files that appear once each, whatever fails and is started again: append mode, with a checkpoint."""
+    return result.writeStream.format(format).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).partitionBy(*by)
+
+
+def to_each(result: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> DataStreamWriter:
+    """Hands every micro-batch and its number to ``write``, for any batch sink. A batch may come again after a
+    failure, under the same number."""
+    return result.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)

@@ -231,6 +231,73 @@ def test_workbook_options(spark, tmp_path):
         read_workbook(spark, path, ReaderConfig(sheet="none"))
 
 
+@pytest.mark.parametrize("name,values", [("professional", ("1F4E79", "FFFFFF", "DAEEF3", "Calibri", True, True)), ("financial", ("2C3E50", "F1C40F", "ECF0F1", "Arial", True, True)), ("dashboard", ("34495E", "ECDBBA", "F7F9FC", "Segoe UI", True, False))])
+def test_style_templates(spark, tmp_path, name, values):
+    import datetime as dt
+
+    fill, ink, stripe, font, frozen, filtered = values
+    t = xlsx.TEMPLATES[name]
+    assert (t.header_fill, t.header_text, t.stripe, t.font, t.freeze_header, t.auto_filter) == values and t.header_bold
+    df = spark.createDataFrame([(1, 2.5, dt.date(2024, 1, 31))], "i long, x double, d date")
+    write_workbook(df, str(tmp_path / "t.xlsx"), WriterConfig(template=name), order=["i"])
+    book = zipfile.ZipFile(tmp_path / "t.xlsx")
+    styles, sheet = book.read("xl/styles.xml").decode(), book.read("xl/worksheets/sheet1.xml").decode()
+    assert all(f"FF{c}" in styles for c in (fill, ink, stripe)) and f'name val="{font}"' in styles and t.date_format in styles
+    assert ("frozen" in sheet) == frozen and ("<autoFilter" in sheet) == filtered
+    back = read_workbook(spark, str(tmp_path / "t.xlsx")).first()
+    assert (back.i, back.x, str(back.d)[:10]) == (1, 2.5, "2024-01-31")
+    assert xlsx.custom_template(font="Mono", header_bold=False).font == "Mono"
+
+
+def test_chart_frame_has_its_own_size(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    write_workbook(df, str(tmp_path / "c.xlsx"), WriterConfig(chart=Chart("pie", "T", 0, 1)), order=["k"])
+    from xml.etree import ElementTree as ET
+
+    root = ET.fromstring(zipfile.ZipFile(tmp_path / "c.xlsx").read("xl/drawings/drawing1.xml"))
+    ext = next(e for e in root.iter() if e.tag.endswith("}ext"))
+    assert (int(ext.get("cx")), int(ext.get("cy"))) == xlsx.CHART_SIZE and any(e.tag.endswith("}oneCellAnchor") for e in root.iter())
+
+
+def test_stream_sinks_and_exact_distinct_counts(spark, tmp_path):
+    from tessera.operators.aggregate import AggregateSpec
+    from tessera.streaming import file_stream, running_aggregate, to_each, to_files, to_table
+
+    df = spark.createDataFrame([(i % 3, i % 1000) for i in range(5000)], "k long, v long")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = lambda: file_stream(spark, str(tmp_path / "in"), df.schema)
+    to_files(stream(), str(tmp_path / "out"), str(tmp_path / "c1"), by=["k"]).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5000
+    seen = []
+    to_each(stream(), lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    assert sum(n for _, n in seen) == 5000
+    to_table(running_aggregate(stream(), [AggregateSpec("v", "count_distinct", "d")], ["k"]), "exact", "complete", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.k: r.d for r in spark.table("exact").collect()} == {k: len({i % 1000 for i in range(5000) if i % 3 == k}) for k in range(3)}
+
+
+def test_row_numbers_over_many_partitions(spark):
+    from tessera.sources.rows import with_row_index
+
+    df = spark.range(0, 1000, 1, 37)
+    rows = with_row_index(df).collect()
+    assert sorted(r._row for r in rows) == list(range(1000)) and all(r._row == r.id for r in rows)
+
+
+def test_no_folder_of_our_own_on_a_cluster(monkeypatch):
+    from tessera.sources import scratch
+
+    class Fake:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            applicationId, master = "app-of-a-cluster", "spark://host:7077"
+            getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))
+
+    with pytest.raises(errors.ConfigError):
+        scratch.shared_folder(Fake)
+
+
 def make_xlsx(sheets, strings=(), styles=""):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
