@@ -25,7 +25,7 @@ def test_stages(spark, sf):
             bad = {r.doc_id for r in table(spark, sf, "labels").filter("quality = 0").collect()}
             assert len(kept & bad) <= 0.1 * len(bad)
         elif k == 1:
-            groups = near_dedup.near_duplicates(before).collect()
+            groups = near_dedup.near_duplicates(before, 80).collect()
             assert kept == {r.component_id for r in groups} and len(got) == len(kept)
         elif k == 2:
             dirty = {r.doc_id for r in decontaminate.contamination(before, table(spark, sf, "benchmark")).collect() if r.contaminated}
