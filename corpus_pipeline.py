@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 as the next stage's docs. All but the last return the columns of documents; the last adds ``shard`` and
 ``slot``. A document goes if the classifier rejects it, if it is a near-duplicate of one that stays, or
 if it holds a benchmark window; the mixture repeats and drops documents by its draws.
+
+Defined results, in every stage: a null or empty text is a document without words, which is judged as empty
+text, is a copy of nothing, holds no window and takes part in the mixture; a null doc_id, source or lang is a
+value like any other; rows with the same id and text are one document from the second stage on, rows with an
+id alone in common are not; ties go to the smallest id or hash; texts of any length are read whole; an empty
+table stays empty; other columns are kept whatever their names, and where one is called shard or slot the
+last stage's gets an underscore after it.
 """
 
 from __future__ import annotations
