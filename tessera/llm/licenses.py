@@ -1,6 +1,9 @@
 """License scans with ordered signature rules.
 
-Hundreds of regular expressions, one per license and way of naming it, are tried in order of priority.
+Hundreds of regular expressions are tried in order of priority: first hand-written signatures of single
+versions of licenses (names with a version, identifiers, sentences that one text alone has), each with a label
+of its own such as gpl-2.0 or bsd-3-clause; then sentences of license texts, and one expression per license
+and way of naming it, whose label is the family.
 An Aho-Corasick automaton over the rules' keywords goes over the text first, and only rules whose keyword
 occurs are run. Overlapping detections are resolved by containment and priority: a detection whose
 interval lies inside another's is suppressed ("GPL" inside "Lesser GPL"), and of two that overlap in part
@@ -95,6 +98,114 @@ TEXTS = (
     ("copyright", r"(?:\(c\)|©)\s*(?:19|20)\d\d", 0.3, "(c) ©"),
 )
 
+#: Signatures of single versions, written by hand: label, weight, keyword, pattern (a space stands for white space).
+SIGNATURES = (
+    ("agpl-3.0", 1.0, "affero", r"gnu affero general public license,? (?:as published by the free software foundation,? (?:either )?)?\(?(?:version|v\.?) ?3"),
+    ("agpl-3.0", 1.0, "agpl", r"\bagpl-?(?:v ?)?3(?:\.0)?(?:-only|-or-later|\+)?\b"),
+    ("agpl-1.0", 1.0, "affero", r"affero general public license,? (?:version|v\.?) ?1"),
+    ("lgpl-2.0", 1.0, "library", r"gnu library general public license(?: as published by the free software foundation; (?:either )?)?,? ?(?:version|v\.?) ?2(?:\.0)?(?!\.?\d)"),
+    ("lgpl-2.1", 1.0, "lesser", r"gnu lesser general public license(?: as published by the free software foundation; (?:either )?)?,? ?(?:version|v\.?) ?2\.1"),
+    ("lgpl-2.1", 1.0, "lgpl", r"\blgpl-?(?:v ?)?2\.1(?:-only|-or-later|\+)?"),
+    ("lgpl-3.0", 1.0, "lesser", r"gnu lesser general public license(?: as published by the free software foundation[,;] (?:either )?)?,? ?(?:version|v\.?) ?3"),
+    ("lgpl-3.0", 1.0, "lgpl", r"\blgpl-?(?:v ?)?3(?:\.0)?(?:-only|-or-later|\+)?\b"),
+    ("lgpl-3.0", 0.9, "incorporates", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("lgpl-2.1", 0.9, "lesser", r"this is the first released version of the lesser gpl"),
+    ("gpl-1.0", 1.0, "general", r"gnu general public license(?: as published by the free software foundation; (?:either )?)?,? ?(?:version|v\.?) ?1(?!\.?\d)"),
+    ("gpl-2.0", 1.0, "general", r"gnu general public license(?: as published by the free software foundation; (?:either )?)?,? ?\(?(?:version|v\.?) ?2(?!\.?[1-9])"),
+    ("gpl-2.0", 1.0, "gpl", r"\bgpl-?(?:v ?)?2(?:\.0)?(?:-only|-or-later|\+)?\b"),
+    ("gpl-2.0", 0.9, "distribute", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed\. preamble the licenses for most software are designed"),
+    ("gpl-3.0", 1.0, "general", r"gnu general public license(?: as published by the free software foundation[,;] (?:either )?)?,? ?\(?(?:version|v\.?) ?3"),
+    ("gpl-3.0", 1.0, "gpl", r"\bgpl-?(?:v ?)?3(?:\.0)?(?:-only|-or-later|\+)?\b"),
+    ("gpl-3.0", 0.9, "copyleft", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("gpl-2.0-classpath", 1.0, "linking", r"linking this (?:library|software) statically or dynamically with other modules is making a combined work"),
+    ("gpl-3.0-gcc", 1.0, "gcc", r"gcc runtime library exception,? ?(?:version|v\.?)? ?3\.1"),
+    ("gfdl-1.1", 1.0, "documentation", r"gnu free documentation license,? (?:version|v\.?) ?1\.1"),
+    ("gfdl-1.2", 1.0, "documentation", r"gnu free documentation license,? (?:version|v\.?) ?1\.2"),
+    ("gfdl-1.3", 1.0, "documentation", r"gnu free documentation license,? (?:version|v\.?) ?1\.3"),
+    ("apache-1.0", 1.0, "apache", r"this product includes software developed by the apache group for use in the apache http server project"),
+    ("apache-1.1", 1.0, "apache", r"this product includes software developed by the apache software foundation"),
+    ("apache-1.1", 1.0, "apache", r"apache(?: software)? license,? (?:version|v\.?) ?1\.1"),
+    ("apache-2.0", 1.0, "apache", r"apache(?: software)? license,? \(?(?:version|v\.?) ?2(?:\.0)?"),
+    ("apache-2.0", 1.0, "apache", r"\bapache-?2(?:\.0)?\b"),
+    ("apache-2.0", 1.0, "apache", r"apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", 0.9, "unless", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \W?as is\W? basis"),
+    ("mit", 1.0, "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-0", 1.0, "mit", r"mit no attribution|\bmit-0\b"),
+    ("mit-advertising", 1.0, "advertising", r"except as contained in this notice, the names? of [^.]{1,80} shall not be used in advertising or otherwise to promote the sale"),
+    ("bsd-0-clause", 1.0, "fee", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\. the software"),
+    ("bsd-2-clause", 1.0, "bsd", r"(?:bsd[- ]2[- ]clause|(?:two|2)[- ]clause bsd|simplified bsd|freebsd license)"),
+    ("bsd-3-clause", 1.0, "bsd", r"(?:bsd[- ]3[- ]clause|(?:three|3)[- ]clause bsd|(?:new|revised|modified) bsd)"),
+    ("bsd-3-clause", 1.0, "neither", r"neither the names? of (?:the )?[^.]{1,120} nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 1.0, "bsd", r"(?:bsd[- ]4[- ]clause|(?:four|4)[- ]clause bsd|original bsd)"),
+    ("bsd-4-clause", 1.0, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("bsd-3-clause-clear", 1.0, "patent", r"no express or implied licenses to any party's patent rights are granted by this license"),
+    ("isc", 1.0, "internet", r"internet systems consortium"),
+    ("mpl-1.0", 1.0, "mozilla", r"mozilla public license,? (?:version|v\.?) ?1\.0"),
+    ("mpl-1.1", 1.0, "mozilla", r"mozilla public license,? (?:version|v\.?) ?1\.1"),
+    ("mpl-2.0", 1.0, "mozilla", r"mozilla public license,? (?:version|v\.?) ?2(?:\.0)?"),
+    ("mpl-2.0", 1.0, "mozilla", r"this source code form is subject to the terms of the mozilla public license,? v\. ?2\.0"),
+    ("mpl-2.0", 1.0, "mpl", r"\bmpl-?(?:v ?)?2(?:\.0)?\b"),
+    ("epl-1.0", 1.0, "eclipse", r"eclipse public license,? ?-? ?(?:version|v\.?) ?1\.0"),
+    ("epl-2.0", 1.0, "eclipse", r"eclipse public license,? ?-? ?(?:version|v\.?) ?2\.0"),
+    ("edl-1.0", 1.0, "eclipse", r"eclipse distribution license,? ?-? ?(?:version|v\.?) ?1\.0"),
+    ("cddl-1.0", 1.0, "common", r"common development and distribution license(?: \(cddl\))?,? ?(?:version|v\.?) ?1\.0"),
+    ("cddl-1.1", 1.0, "common", r"common development and distribution license(?: \(cddl\))?,? ?(?:version|v\.?) ?1\.1"),
+    ("cpl-1.0", 1.0, "common", r"common public license,? ?-? ?(?:version|v\.?) ?1\.0"),
+    ("eupl-1.1", 1.0, "european", r"european union public licen[cs]e,? (?:version|v\.?) ?1\.1"),
+    ("eupl-1.2", 1.0, "european", r"european union public licen[cs]e,? (?:version|v\.?) ?1\.2"),
+    ("artistic-1.0", 1.0, "artistic", r"the \W?artistic license\W? preamble"),
+    ("artistic-2.0", 1.0, "artistic", r"(?:the )?artistic license,? ?(?:version|v\.?)? ?2\.0"),
+    ("boost-1.0", 1.0, "boost", r"boost software license,? ?-? ?(?:version|v\.?) ?1\.0"),
+    ("zlib", 1.0, "altered", r"altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+    ("libpng-2.0", 1.0, "png", r"png reference library license version 2"),
+    ("unlicense", 1.0, "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl-2", 1.0, "do", r"do what the f\w+ you want to public license,? ?(?:version|v\.?) ?2"),
+    ("cc0-1.0", 1.0, "cc0", r"\bcc0[- ]1\.0(?: universal)?"),
+    ("cc0-1.0", 0.9, "extent", r"to the extent possible under law, [^.]{1,120} waived all copyright and related or neighboring rights"),
+    ("cc-by-2.0", 1.0, "cc-by", r"\bcc-by[- ]2\.0\b"),
+    ("cc-by-2.5", 1.0, "cc-by", r"\bcc-by[- ]2\.5\b"),
+    ("cc-by-3.0", 1.0, "cc-by", r"\bcc-by[- ]3\.0\b"),
+    ("cc-by-4.0", 1.0, "cc-by", r"\bcc-by[- ]4\.0\b"),
+    ("cc-by-3.0", 1.0, "attribution", r"creative commons attribution 3\.0(?: unported)?(?: licen[cs]e)?"),
+    ("cc-by-4.0", 1.0, "attribution", r"creative commons attribution 4\.0(?: international)?(?: public)?(?: licen[cs]e)?"),
+    ("cc-by-sa-3.0", 1.0, "cc-by", r"\bcc-by-sa[- ]3\.0\b"),
+    ("cc-by-sa-4.0", 1.0, "cc-by", r"\bcc-by-sa[- ]4\.0\b"),
+    ("cc-by-sa-3.0", 1.0, "attribution", r"creative commons attribution[- ]share-?alike 3\.0(?: unported)?(?: licen[cs]e)?"),
+    ("cc-by-sa-4.0", 1.0, "attribution", r"creative commons attribution[- ]share-?alike 4\.0(?: international)?(?: public)?(?: licen[cs]e)?"),
+    ("cc-by-sa-4.0", 1.0, "creativecommons", r"creativecommons\.org/licenses/by-sa/4\.0"),
+    ("cc-by-sa-3.0", 1.0, "creativecommons", r"creativecommons\.org/licenses/by-sa/3\.0"),
+    ("cc-by-4.0", 1.0, "creativecommons", r"creativecommons\.org/licenses/by/4\.0"),
+    ("cc-by-3.0", 1.0, "creativecommons", r"creativecommons\.org/licenses/by/3\.0"),
+    ("cc-by-nc-4.0", 1.0, "attribution", r"creative commons attribution[- ]non-?commercial 4\.0(?: international)?"),
+    ("cc-by-nc-sa-4.0", 1.0, "attribution", r"creative commons attribution[- ]non-?commercial[- ]share-?alike 4\.0(?: international)?"),
+    ("cc-by-nc-nd-4.0", 1.0, "attribution", r"creative commons attribution[- ]non-?commercial[- ]no-?deriv\w* 4\.0(?: international)?"),
+    ("odbl-1.0", 1.0, "open", r"open database license(?: \(odbl\))?,? ?(?:version|v\.?) ?1\.0"),
+    ("odc-by-1.0", 1.0, "open", r"open data commons attribution license,? ?(?:version|v\.?)? ?1\.0"),
+    ("psf-2.0", 1.0, "python", r"python software foundation license,? (?:version|v\.?) ?2"),
+    ("ofl-1.1", 1.0, "open", r"(?:sil )?open font license,? ?(?:version|v\.?) ?1\.1"),
+    ("openssl", 1.0, "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", 1.0, "cryptographic", r"this product includes cryptographic software written by eric young"),
+    ("php-3.01", 1.0, "php", r"php license,? (?:version|v\.?) ?3\.01"),
+    ("ms-pl", 1.0, "microsoft", r"microsoft public license \(ms-pl\)"),
+    ("ms-rl", 1.0, "microsoft", r"microsoft reciprocal license"),
+    ("upl-1.0", 1.0, "universal", r"universal permissive license(?: \(upl\))?,? ?(?:version|v\.?) ?1\.0"),
+    ("mulan-2.0", 1.0, "mulan", r"mulan (?:psl|permissive software license),? ?(?:version|v\.?) ?2"),
+    ("sspl-1.0", 1.0, "server", r"server side public license,? ?(?:version|v\.?) ?1"),
+    ("busl-1.1", 1.0, "business", r"business source license,? ?(?:version|v\.?)? ?1\.1"),
+    ("elastic-2.0", 1.0, "elastic", r"elastic license,? ?(?:version|v\.?)? ?2\.0"),
+    ("postgresql", 1.0, "postgresql", r"postgresql licen[cs]e"),
+    ("ncsa", 1.0, "ncsa", r"university of illinois/ncsa open source license"),
+    ("vim", 1.0, "vim", r"\bvim license\b"),
+    ("w3c", 1.0, "w3c", r"w3c software (?:and document )?notice and license"),
+    ("json", 1.0, "evil", r"the software shall be used for good, not evil"),
+    ("beerware", 1.0, "beer", r"buy me a beer in return"),
+    ("ecl-2.0", 1.0, "educational", r"educational community license,? ?(?:version|v\.?) ?2\.0"),
+    ("afl-3.0", 1.0, "academic", r"academic free license,? ?(?:version|v\.?) ?3\.0"),
+    ("osl-3.0", 1.0, "open", r"open software license,? ?(?:version|v\.?) ?3\.0"),
+    ("cecill-2.1", 1.0, "cecill", r"cecill free software license agreement,? ?(?:version|v\.?) ?2\.1"),
+    ("blueoak-1.0", 1.0, "blue", r"blue oak model license,? ?(?:version|v\.?)? ?1\.0"),
+)
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -117,6 +228,9 @@ def build_rules() -> tuple[list[Rule], dict[str, list[int]]]:
             by_word.setdefault(w, []).append(len(rules))
         rules.append(Rule(label, kind, re.compile(pattern), weight, len(rules)))
 
+    for label, weight, word, pattern in SIGNATURES:
+        spaced = re.sub(r"\[[^\]]*\]| ", lambda m: r"\s+" if m[0] == " " else m[0].replace(" ", r"\s"), pattern)
+        add(label, "signature", spaced.replace(r"\s+?", r"\s*"), weight, (word,))
     for label, pattern, weight, word in TEXTS[:-2]:
         add(label, "text", pattern, weight, (word.split()[-1] if " " in word else word,))
     for kind, form, weight in FORMS:
@@ -153,11 +267,14 @@ def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 
     First containment: a detection whose interval lies inside another's goes, the one of lower priority if
     the intervals are equal. What is left overlaps in part at most and is taken in order of priority; a
-    detection that overlaps one already taken goes. Copyright notices give way to licenses throughout.
+    detection that overlaps one already taken goes. Signatures of versions are resolved first and copyright
+    notices last, so a family's name gives way to its version, and notices give way to licenses throughout.
     """
-    licenses = [x for x in found if x[2].kind != "notice"]
+    groups: tuple[list, list, list] = ([], [], [])
+    for x in found:
+        groups[{"signature": 0, "notice": 2}.get(x[2].kind, 1)].append(x)
     taken: list[tuple[int, int, Rule]] = []
-    for group in (licenses, [x for x in found if x[2].kind == "notice"]):
+    for group in groups:
         free, end = [], -1
         for x in sorted(group, key=lambda x: (x[0], -x[1], x[2].priority)):
             # Starts rise, so an interval lies inside an earlier one if its end is no further than the furthest so far.

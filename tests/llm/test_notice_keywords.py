@@ -22,7 +22,7 @@ def strings(tree, rng):
             out += "".join(strings(inner, rng) for _ in range(rng.randint(low, min(high, low + 1))))
         elif name == "IN":
             kind, value = rng.choice([x for x in arg if str(x[0]) != "NEGATE"])
-            out += chr(value) if str(kind) == "LITERAL" else chr(value[0]) if str(kind) == "RANGE" else {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "2", "CATEGORY_WORD": "x"}[str(value)]
+            out += chr(value) if str(kind) == "LITERAL" else chr(value[0]) if str(kind) == "RANGE" else {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "2", "CATEGORY_WORD": "x", "CATEGORY_NOT_WORD": "'"}[str(value)]
     return out
 
 
