@@ -6,6 +6,7 @@ import datetime as dt
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,19 @@ def display(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def sql_text(c: Column, kind: T.DataType) -> Column:
+    """The text that a cast in SQL gives: null stays null, floats keep all their digits, whole ones read like integers.
+
+    Java 17 doesn't always find the shortest text of a float, so other floats go through Python, in Arrow batches.
+    """
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        return c.cast("string")
+    d = c if isinstance(kind, T.DoubleType) else c.cast("string").cast("double")
+    shortest = F.pandas_udf(lambda s: pd.Series([repr(x) for x in s.tolist()], dtype=object), "string")
+    whole = d.try_cast("bigint")
+    return F.when((whole.cast("double") == d) & (d < 2.0**63), whole.cast("string")).when(d.isNotNull(), shortest(d))
+
+
 def as_float(c: Column, kind: T.DataType) -> Column:
     """Numbers as doubles; text and booleans are not numeric and give null."""
     return c.cast("double") if isinstance(kind, NUMERIC) else F.lit(None).cast("double")

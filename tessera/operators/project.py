@@ -41,11 +41,11 @@ def add_column(df: DataFrame, name: str, value: Column | Callable[[DataFrame], C
     return df.select("*", (value(df) if callable(value) and not isinstance(value, Column) else value).alias(name))
 
 
-def coerced(c: Column, kind: T.DataType, target: str) -> Column:
-    """A column as ``target`` (string, int, float, bool, date or datetime); what can't be read gives null."""
+def coerced(c: Column, kind: T.DataType, target: str, text: Callable[[Column, T.DataType], Column] = display) -> Column:
+    """A column as ``target`` (string, int, float, bool, date or datetime; strings by ``text``); what can't be read gives null."""
     source = family(kind)
     if target == "string":
-        return display(c, kind)
+        return text(c, kind)
     if target == "int":
         if source == "string":
             return F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("bigint"))

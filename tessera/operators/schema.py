@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DriftError, SchemaError, ValidationFailed
-from ..functions.values import as_float, display, family, quoted, safe_pattern, trimmed
+from ..functions.values import as_float, display, family, quoted, safe_pattern, sql_text, trimmed
 from .project import coerced
 
 KINDS = ("bool", "int", "float", "string", "date", "datetime")
@@ -168,8 +168,11 @@ def validate(df: DataFrame, schema: Sequence[ColumnSchema], index: str, strict:
     return found
 
 
-def apply_schema(df: DataFrame, schema: Sequence[ColumnSchema], index: str | None = None, strict: bool = False) -> DataFrame:
-    """Strict: the table if it's valid. Otherwise columns are coerced, by position."""
+def apply_schema(df: DataFrame, schema: Sequence[ColumnSchema], index: str | None = None, strict: bool = False, as_sql: bool = False) -> DataFrame:
+    """Strict: the table if it's valid. Otherwise columns are coerced, by position.
+
+    ``as_sql`` gives columns of strings the text of a cast in SQL, not the display text (ten decimals, null as '').
+    """
     if strict:
         if index is None:
             raise SchemaError("strict validation needs a row index")
@@ -177,7 +180,8 @@ def apply_schema(df: DataFrame, schema: Sequence[ColumnSchema], index: str | Non
         return df
     names = [c for c in df.columns if c != index]
     kinds = {n: s.kind for n, s in zip(names, schema, strict=False)}
-    return df.select(*[coerced(quoted(c), df.schema[c].dataType, kinds[c]).alias(c) if c in kinds else quoted(c) for c in df.columns])
+    text = sql_text if as_sql else display
+    return df.select(*[coerced(quoted(c), df.schema[c].dataType, kinds[c], text).alias(c) if c in kinds else quoted(c) for c in df.columns])
 
 
 def align(df: DataFrame, target: Sequence[ColumnSchema], fail_on_missing: bool = False, fail_on_extra: bool = False) -> DataFrame:
